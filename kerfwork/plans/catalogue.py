@@ -5,11 +5,377 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kerfwork.functions.geometry import arc_angles, arc_steps, bulge_arc, circle_3pt, rounded
+from kerfwork.operators import report, rings, segments
+from kerfwork.plans.views import duck, view
+
+C = F.col
+
+
+def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: rounded(C(n), digits) for n in names})
+
+
+def _r(expression: str, digits: int, name: str) -> str:
+    return f"round_even({expression}, {digits}) + 0.0 AS {name}"
+
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+SEG, JIT, SQ, RECT, POLY, ARC, DIAG, PX, ENTITY = (f"({duck(n)})" for n in ("seg", "jit", "sq", "rect", "poly", "arc", "diag", "px", "entity"))
+ENDS = "(SELECT drawing_id, 2 * seg_id AS pt, sx AS x, sy AS y FROM {0} UNION ALL SELECT drawing_id, 2 * seg_id + 1, ex, ey FROM {0})"
+SEG_ENDS, JIT_ENDS = ENDS.format(f"{SEG} s"), ENDS.format(f"{JIT} s")
+KEY = """SELECT *, CASE WHEN (sx, sy) <= (ex, ey) THEN sx ELSE ex END AS px, CASE WHEN (sx, sy) <= (ex, ey) THEN sy ELSE ey END AS py,
+  CASE WHEN (sx, sy) <= (ex, ey) THEN ex ELSE sx END AS qx, CASE WHEN (sx, sy) <= (ex, ey) THEN ey ELSE sy END AS qy FROM """
+
+
+@query(f"SELECT drawing_id, count(*) AS segments, {_r('sum(hypot(ex - sx, ey - sy))', 4, 'total_length')} FROM {SEG} s GROUP BY drawing_id".replace("hypot(ex - sx, ey - sy)", "sqrt((ex - sx) ** 2 + (ey - sy) ** 2)"))
+def segment_scan(spark, d):
+    return _round(view(spark, d, "seg").groupBy("drawing_id").agg(F.count("*").alias("segments"), F.sum(F.hypot(C("ex") - C("sx"), C("ey") - C("sy"))).alias("total_length")), 4, "total_length")
+
+
+@query(f"""SELECT drawing_id, CASE WHEN kind IN ('LINE', 'ARC') THEN 'kept' WHEN kind = 'MTEXT' THEN 'TEXT_SKIPPED' WHEN kind = '3DFACE' THEN '3D_ENTITY_SKIPPED' ELSE 'dropped' END AS outcome,
+  count(*) AS n FROM {ENTITY} e GROUP BY ALL""")
+def entity_filter(spark, d):
+    return report.classify(view(spark, d, "entity")).groupBy("drawing_id", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 16 WHEN 1 THEN 25.4 WHEN 2 THEN 304.8 WHEN 5 THEN 10.0 WHEN 6 THEN 1000.0 WHEN 10 THEN 914.4 WHEN 13 THEN 0.001 WHEN 14 THEN 100.0 ELSE 1.0 END::DOUBLE AS scale,
+  CASE WHEN o_orderkey % 16 = 0 THEN 'ASSUMED_UNIT' WHEN o_orderkey % 16 NOT IN (1, 2, 4, 5, 6, 10, 13, 14) THEN 'UNSUPPORTED_INSUNITS' END AS code FROM orders""")
+def unit_scale(spark, d):
+    scale, code = report.unit_scale(C("o_orderkey") % 16)
+    return spark.read.parquet(f"{d}/orders.parquet").select(C("o_orderkey").alias("id"), scale.alias("scale"), code.alias("code"))
+
+
+@query(f"SELECT drawing_id, seg_id, sx * 25.4::DOUBLE AS sx, sy * 25.4::DOUBLE AS sy, ex * 25.4::DOUBLE AS ex, ey * 25.4::DOUBLE AS ey FROM {SEG} s")
+def scale_coords(spark, d):
+    return view(spark, d, "seg").select("drawing_id", "seg_id", *[(C(c) * 25.4).alias(c) for c in ("sx", "sy", "ex", "ey")])
+
+
+@query(f"SELECT drawing_id, seg_id, ex AS sx, ey AS sy, sx AS ex, sy AS ey FROM {SEG} s")
+def reverse_segments(spark, d):
+    return view(spark, d, "seg").select("drawing_id", "seg_id", C("ex").alias("sx"), C("ey").alias("sy"), C("sx").alias("ex"), C("sy").alias("ey"))
+
+
+ARC_SQL = f"""SELECT id, x0, y0, x1, y1, b, (x0 + x1) / 2 - (1 - b * b) / (4 * b) * (y1 - y0) AS cx, (y0 + y1) / 2 + (1 - b * b) / (4 * b) * (x1 - x0) AS cy,
+  sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) * (1 + b * b) / (4 * abs(b)) AS radius, b > 0 AS ccw FROM {ARC} a"""
+
+
+def _arcs(spark, d) -> DataFrame:
+    arcs = view(spark, d, "arc")
+    found = arcs.withColumns(bulge_arc(*map(C, ("x0", "y0", "x1", "y1", "b"))))
+    a0, turn = arc_angles(*map(C, ("x0", "y0", "x1", "y1", "cx", "cy", "ccw")))
+    return found.withColumn("a0", a0).withColumn("turn", turn)
+
+
+@query(f"SELECT id, {_r('cx', 6, 'cx')}, {_r('cy', 6, 'cy')}, {_r('radius', 6, 'radius')}, ccw FROM ({ARC_SQL}) t")
+def bulge_decode(spark, d):
+    return _round(_arcs(spark, d).select("id", "cx", "cy", "radius", "ccw"), 6, "cx", "cy", "radius")
+
+
+@query(f"SELECT id, {_r('b', 6, 'bulge')} FROM {ARC} a")
+def bulge_encode(spark, d):
+    """Decoded and encoded again: the bulge comes back."""
+    return _round(_arcs(spark, d).select("id", F.tan(C("turn") / 4).alias("bulge")), 6, "bulge")
+
+
+
+@query(f"SELECT id, {_r('cx + radius * cos(atan2(y0 - cy, x0 - cx) + 2 * atan(b))', 6, 'mx')}, {_r('cy + radius * sin(atan2(y0 - cy, x0 - cx) + 2 * atan(b))', 6, 'my')} FROM ({ARC_SQL}) t")
+def arc_midpoint(spark, d):
+    half = C("a0") + C("turn") / 2
+    return _round(_arcs(spark, d).select("id", (C("cx") + C("radius") * F.cos(half)).alias("mx"), (C("cy") + C("radius") * F.sin(half)).alias("my")), 6, "mx", "my")
+
+
+@query(f"SELECT id, greatest(1, CAST(ceil(abs(4 * atan(b)) / (2 * acos(1 - least(0.02, 0.999 * radius) / radius)) - 1e-9) AS INTEGER)) AS steps FROM ({ARC_SQL}) t")
+def arc_steps_count(spark, d):
+    return _arcs(spark, d).select("id", F.greatest(F.lit(1), F.ceil(F.abs(C("turn")) / (2 * F.acos(1 - F.least(F.lit(0.02), 0.999 * C("radius")) / C("radius"))) - 1e-9).cast("int")).alias("steps"))
+
+
+@query(f"""SELECT id, k, {_r('cx + radius * cos(atan2(y0 - cy, x0 - cx) + 4 * atan(b) * k / 4)', 5, 'x')}, {_r('cy + radius * sin(atan2(y0 - cy, x0 - cx) + 4 * atan(b) * k / 4)', 5, 'y')}
+  FROM ({ARC_SQL}) t CROSS JOIN (SELECT unnest(range(5)) AS k) n""")
+def arc_points(spark, d):
+    """Five points on each arc, both ends among them."""
+    each = _arcs(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    at = C("a0") + C("turn") * C("k") / 4
+    return _round(each.select("id", "k", (C("cx") + C("radius") * F.cos(at)).alias("x"), (C("cy") + C("radius") * F.sin(at)).alias("y")), 5, "x", "y")
+
+
+@query()
+def arc_discretize(spark, d):
+    """Whole arcs in chords within 0.02 of them."""
+    steps = arc_steps(C("turn"), C("radius"), 0.02)
+    each = _arcs(spark, d).withColumn("n", steps).withColumn("k", F.explode(F.sequence(F.lit(0), C("n"))))
+    at = C("a0") + C("turn") * C("k") / C("n")
+    x = F.when(C("k") == 0, C("x0")).when(C("k") == C("n"), C("x1")).otherwise(C("cx") + C("radius") * F.cos(at))
+    y = F.when(C("k") == 0, C("y0")).when(C("k") == C("n"), C("y1")).otherwise(C("cy") + C("radius") * F.sin(at))
+    return each.select("id", "k", x.alias("x"), y.alias("y"))
+
+
+@query(f"SELECT id, part, {_r('4 * atan(b) / 2', 6, 'turn')} FROM ({ARC_SQL}) t CROSS JOIN (SELECT unnest(range(2)) AS part) n WHERE abs(4 * atan(b)) > 4")
+def split_full_sweep(spark, d):
+    """Arcs over four radians as two halves."""
+    wide = _arcs(spark, d).where(F.abs("turn") > 4).withColumn("part", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    return _round(wide.select("id", "part", (C("turn") / 2).alias("turn")), 6, "turn")
+
+
+@query(f"SELECT id, {_r('cx', 5, 'ux')}, {_r('cy', 5, 'uy')}, {_r('radius', 5, 'radius')} FROM ({ARC_SQL}) t")
+def circle_fit_3pt(spark, d):
+    half = C("a0") + C("turn") / 2
+    mid = _arcs(spark, d).withColumn("mx", C("cx") + C("radius") * F.cos(half)).withColumn("my", C("cy") + C("radius") * F.sin(half)).drop("radius")
+    return _round(mid.withColumns(circle_3pt(*map(C, ("x0", "y0", "mx", "my", "x1", "y1")))).select("id", "ux", "uy", "radius"), 5, "ux", "uy", "radius")
+
+
+@query(f"""WITH p AS (SELECT * FROM {POLY} t), m AS (SELECT *, avg(x) OVER (PARTITION BY vec_id) AS mx, avg(y) OVER (PARTITION BY vec_id) AS my FROM p),
+s AS (SELECT vec_id, any_value(mx) AS mx, any_value(my) AS my, sum((x-mx)*(x-mx)) AS suu, sum((y-my)*(y-my)) AS svv, sum((x-mx)*(y-my)) AS suv,
+  sum((x-mx)*(x-mx)*(x-mx) + (x-mx)*(y-my)*(y-my)) AS su, sum((y-my)*(y-my)*(y-my) + (y-my)*(x-mx)*(x-mx)) AS sv, count(*) AS n FROM m GROUP BY vec_id),
+f AS (SELECT *, (su*svv - sv*suv) / (2 * (suu*svv - suv*suv)) AS a, (sv*suu - su*suv) / (2 * (suu*svv - suv*suv)) AS b FROM s)
+SELECT vec_id, {_r('mx + a', 4, 'cx')}, {_r('my + b', 4, 'cy')}, {_r('sqrt(a*a + b*b + (suu + svv) / n)', 4, 'radius')} FROM f""")
+def circle_fit_lsq(spark, d):
+    return _round(rings.circle_fit(view(spark, d, "poly"), "vec_id").select("vec_id", "cx", "cy", "radius"), 4, "cx", "cy", "radius")
+
+
+RING = f"(SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM {POLY} t WINDOW w AS (PARTITION BY vec_id ORDER BY i))"
+
+
+@query(f"SELECT vec_id, {_r('sum(x * ny - nx * y) / 2', 4, 'area')}, {_r('sum(sqrt((nx - x) ** 2 + (ny - y) ** 2))', 4, 'perimeter')}, {_r('min(x)', 4, 'min_x')}, {_r('max(x)', 4, 'max_x')}, {_r('min(y)', 4, 'min_y')}, {_r('max(y)', 4, 'max_y')} FROM {RING} r GROUP BY vec_id")
+def ring_measures(spark, d):
+    names = ["area", "perimeter", "min_x", "max_x", "min_y", "max_y"]
+    return _round(rings.measures(view(spark, d, "poly"), "vec_id").select("vec_id", *names), 4, *names)
+
+
+@query(f"SELECT vec_id, 63 - i AS i, {_r('x', 4, 'x')}, {_r('y', 4, 'y')} FROM {POLY} t")
+def ring_orient(spark, d):
+    """Every ring turned clockwise."""
+    return _round(rings.oriented(view(spark, d, "poly"), "vec_id", ccw=False), 4, "x", "y")
+
+
+@query(f"""SELECT a.drawing_id, least(a.pt, b.pt) AS a, greatest(a.pt, b.pt) AS b FROM {JIT_ENDS} a JOIN {JIT_ENDS} b ON a.drawing_id = b.drawing_id AND floor(a.x) - floor(b.x) BETWEEN -1 AND 1 AND a.y = b.y
+  AND a.pt < b.pt AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.05""")
+def snap_pairs(spark, d):
+    return segments.snap_pairs(view(spark, d, "jit")).select("drawing_id", "a", "b")
+
+
+JIT_SPOTS = f"(SELECT drawing_id, x, y, min(pt) AS pt FROM {JIT_ENDS} e GROUP BY ALL)"
+CLUSTERS = f"""WITH sp AS (SELECT * FROM {JIT_SPOTS} s), o AS (SELECT *, lag(x) OVER (PARTITION BY drawing_id, y ORDER BY x) AS px FROM sp),
+g AS (SELECT *, sum(CASE WHEN px IS NULL OR x - px > 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id, y ORDER BY x) AS grp FROM o),
+r AS (SELECT *, min(pt) OVER (PARTITION BY drawing_id, y, grp) AS root FROM g),
+cl AS (SELECT e.drawing_id, e.pt, e.x, e.y, r.root FROM {JIT_ENDS} e JOIN r USING (drawing_id, x, y)) """
+
+
+@query(CLUSTERS + "SELECT drawing_id, pt, root FROM cl")
+def snap_clusters(spark, d):
+    return segments.snap_clusters(view(spark, d, "jit")).select("drawing_id", "pt", "root")
+
+
+@query(CLUSTERS + f"SELECT drawing_id, root, {_r('avg(x)', 6, 'cx')}, {_r('avg(y)', 6, 'cy')}, count(*) AS members FROM cl GROUP BY drawing_id, root")
+def snap_centroids(spark, d):
+    return _round(segments.snap_centroids(view(spark, d, "jit")), 6, "cx", "cy")
+
+
+def _short(spark, d) -> DataFrame:
+    """Jittered segments of which every 50th has shrunk to a sliver."""
+    return view(spark, d, "jit").withColumn("ex", F.when(C("seg_id") % 50 == 0, C("sx") + 1 / 64).otherwise(C("ex"))).withColumn("ey", F.when(C("seg_id") % 50 == 0, C("sy")).otherwise(C("ey")))
+
+
+SHORT = f"(SELECT drawing_id, seg_id, sx, sy, CASE WHEN seg_id % 50 = 0 THEN sx + 0.015625::DOUBLE ELSE ex END AS ex, CASE WHEN seg_id % 50 = 0 THEN sy ELSE ey END AS ey FROM {JIT} s)"
+
+
+@query(f"""WITH e AS (SELECT * FROM {ENDS.format(SHORT + ' q')} z), sp AS (SELECT drawing_id, x, y, min(pt) AS pt FROM e GROUP BY ALL), o AS (SELECT *, lag(x) OVER (PARTITION BY drawing_id, y ORDER BY x) AS px FROM sp),
+g AS (SELECT *, sum(CASE WHEN px IS NULL OR x - px > 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id, y ORDER BY x) AS grp FROM o),
+c AS (SELECT e.drawing_id, e.pt, g.y AS gy, g.grp FROM e JOIN g USING (drawing_id, x, y))
+SELECT a.drawing_id, a.pt // 2 AS seg_id FROM c a JOIN c b ON a.drawing_id = b.drawing_id AND a.pt + 1 = b.pt AND a.pt % 2 = 0 AND a.gy = b.gy AND a.grp = b.grp""")
+def zero_length(spark, d):
+    return segments.zero_length(_short(spark, d))
+
+
+@query(f"SELECT drawing_id, x, y, count(*) AS degree FROM {SEG_ENDS} e GROUP BY drawing_id, x, y HAVING count(*) > 2")
+def junction_degree(spark, d):
+    return segments.junctions(view(spark, d, "seg"))
+
+
+@query(f"""WITH f AS (SELECT drawing_id, x, y, min(pt) AS pt FROM {SEG_ENDS} e GROUP BY drawing_id, x, y HAVING count(*) = 1)
+SELECT a.drawing_id, a.pt // 2 AS i, b.pt // 2 AS j, {_r('min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2))', 6, 'gap')} FROM f a JOIN f b ON a.drawing_id = b.drawing_id AND a.pt < b.pt AND a.pt // 2 <> b.pt // 2
+  AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 0.05 GROUP BY 1, 2, 3""")
+def open_gap(spark, d):
+    return _round(segments.open_gaps(view(spark, d, "seg")), 6, "gap")
+
+
+@query(f"SELECT drawing_id, px, py, qx, qy, count(*) AS n, min(seg_id) AS keep FROM ({KEY} {SEG} s) k GROUP BY drawing_id, px, py, qx, qy HAVING count(*) > 1")
+def dup_groups(spark, d):
+    return segments.duplicate_groups(view(spark, d, "seg"))
+
+
+@query(f"SELECT drawing_id, min(seg_id) AS seg_id FROM ({KEY} {SEG} s) k GROUP BY drawing_id, px, py, qx, qy")
+def dup_survivors(spark, d):
+    return segments.survivors(view(spark, d, "seg")).select("drawing_id", "seg_id")
+
+
+@query(f"""WITH k AS (SELECT *, seg_id // 2 AS contour FROM ({KEY} {SEG} s) k), t AS (SELECT drawing_id, contour, count(*) AS total FROM k GROUP BY ALL),
+g AS (SELECT drawing_id, px, py, qx, qy, contour, count(*) AS n, min(seg_id) AS first FROM k GROUP BY ALL)
+SELECT g.drawing_id, min(g.first) AS keep, CAST(sum(n) AS BIGINT) AS n, bool_and(n = total) AS standalone FROM g JOIN t USING (drawing_id, contour) GROUP BY g.drawing_id, px, py, qx, qy HAVING sum(n) > 1""")
+def standalone_flag(spark, d):
+    """Two segments in a row make a contour."""
+    return segments.standalone_groups(view(spark, d, "seg").withColumn("contour", F.floor(C("seg_id") / 2)), "contour")
+
+
+@query(f"""WITH k AS (SELECT *, count(*) OVER (PARTITION BY drawing_id, px, py, qx, qy) AS copies FROM ({KEY} {SEG} s) k),
+l AS (SELECT drawing_id, seg_id, CASE WHEN px = qx THEN 0.0 ELSE 1.0 END::DOUBLE AS ux, CASE WHEN px = qx THEN 1.0 ELSE 0.0 END::DOUBLE AS uy,
+  CASE WHEN px = qx THEN -px ELSE py END + 0.0 AS off, CASE WHEN px = qx THEN py ELSE px END AS lo, CASE WHEN px = qx THEN qy ELSE qx END AS hi FROM k WHERE copies = 1),
+m AS (SELECT *, max(hi) OVER (PARTITION BY drawing_id, ux, off ORDER BY lo, hi, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id, ux, off ORDER BY lo, hi, seg_id) AS island FROM m)
+SELECT drawing_id, ux, uy, off, min(lo) AS lo, max(hi) AS hi, count(*) AS members, min(seg_id) AS keep FROM n GROUP BY drawing_id, ux, uy, off, island HAVING count(*) > 1""")
+def collinear_merge(spark, d):
+    return segments.collinear_merge(view(spark, d, "seg"))
+
+
+@query(f"""WITH s AS (SELECT *, seg_id // 3 AS contour FROM {SEG} s), g AS (SELECT *, coalesce(lead(sx) OVER w, first_value(sx) OVER w) AS nx, coalesce(lead(sy) OVER w, first_value(sy) OVER w) AS ny
+  FROM s WINDOW w AS (PARTITION BY drawing_id, contour ORDER BY seg_id)) SELECT drawing_id, contour, max(sqrt((nx - ex) ** 2 + (ny - ey) ** 2)) <= 1e-6 AS closed, count(*) AS segments FROM g GROUP BY drawing_id, contour""")
+def contiguity_check(spark, d):
+    return segments.contiguous(view(spark, d, "seg").withColumn("contour", F.floor(C("seg_id") / 3)), "contour")
+
+
+@query()
+def chain_contours(spark, d):
+    return segments.chain(segments.survivors(view(spark, d, "seg")))
+
+
+@query(f"SELECT drawing_id, id FROM {SQ} s WHERE NOT (8 * half < 40 OR 4 * half * half < 200)")
+def despeckle(spark, d):
+    closed = view(spark, d, "sq").withColumn("is_closed", F.lit(True)).withColumn("perimeter", 8 * C("half")).withColumn("area", 4 * C("half") * C("half"))
+    return rings.despeckle(closed, 40, 200).select("drawing_id", "id")
+
+
+OVER = f"""SELECT a.drawing_id, a.id AS a, b.id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared FROM {RECT} a JOIN {RECT} b ON a.drawing_id = b.drawing_id AND a.id < b.id
+  AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
+  AND NOT (a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1) AND NOT (b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1)"""
+
+
+@query(OVER)
+def overlap_pairs(spark, d):
+    return rings.overlap_pairs(view(spark, d, "rect"))
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT drawing_id, a, b FROM ({OVER}) o), e AS MATERIALIZED (SELECT drawing_id, a AS u, b AS v FROM p UNION ALL SELECT drawing_id, b, a FROM p),
+r AS (SELECT drawing_id, id AS u, id AS root FROM {RECT} n UNION SELECT e.drawing_id, e.v, r.root FROM r JOIN e ON r.drawing_id = e.drawing_id AND r.u = e.u AND r.root < e.v)
+SELECT drawing_id, u AS id, min(root) AS root FROM r GROUP BY drawing_id, u""")
+def overlap_clusters(spark, d):
+    return rings.overlap_clusters(view(spark, d, "rect"))
+
+
+@query(f"""SELECT a.drawing_id, a.id AS outer_id, b.id AS inner_id FROM {RECT} a JOIN {RECT} b ON a.drawing_id = b.drawing_id AND a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 AND (a.x0, a.y0, a.x1, a.y1) <> (b.x0, b.y0, b.x1, b.y1)""")
+def contained_pairs(spark, d):
+    return rings.contained(view(spark, d, "rect")).select("drawing_id", C("outer").alias("outer_id"), C("inner").alias("inner_id"))
+
+
+NEST = f"""SELECT a.drawing_id, a.cell, a.id, a.half, count(b.id) AS depth, min_by(b.id, b.half * 1e9 + b.id) AS parent FROM {SQ} a LEFT JOIN {SQ} b ON a.drawing_id = b.drawing_id AND a.cell = b.cell AND a.id <> b.id AND b.half >= a.half GROUP BY ALL"""
+
+
+@query(NEST)
+def nest_depth(spark, d):
+    return rings.nest(view(spark, d, "sq"))
+
+
+@query(f"""WITH n AS ({NEST}), h AS (SELECT drawing_id, parent AS id, count(*) AS n_holes, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS hole_ids FROM n WHERE depth % 2 = 1 GROUP BY ALL)
+SELECT n.drawing_id, n.id, coalesce(n_holes, 0) AS n_holes, coalesce(hole_ids, '') AS hole_ids FROM n LEFT JOIN h USING (drawing_id, id) WHERE depth % 2 = 0""")
+def parts_holes(spark, d):
+    return rings.parts(view(spark, d, "sq"))
+
+
+@query(f"WITH n AS ({NEST}) SELECT drawing_id, id FROM n WHERE depth % 2 = 1 AND NOT EXISTS (SELECT 1 FROM n p WHERE p.drawing_id = n.drawing_id AND p.id = n.parent AND p.depth % 2 = 0)")
+def orphan_holes(spark, d):
+    return rings.orphan_holes(view(spark, d, "sq"))
+
+
+@query(f"SELECT drawing_id, id, x1 - x0 AS w, y1 - y0 AS h FROM {RECT} r WHERE x1 - x0 > 2 OR y1 - y0 > 3")
+def oversize(spark, d):
+    """Parts beyond a 2 x 3 sheet, which may not be turned."""
+    return view(spark, d, "rect").select("drawing_id", "id", (C("x1") - C("x0")).alias("w"), (C("y1") - C("y0")).alias("h")).where("w > 2 or h > 3")
+
+
+@query(f"SELECT drawing_id, id, {_r('2 * sqrt(4 * half * half / pi())', 6, 'diameter')} FROM {SQ} s WHERE 2 * sqrt(4 * half * half / pi()) < 10")
+def small_holes(spark, d):
+    diameter = 2 * F.sqrt(4 * C("half") * C("half") / F.pi())
+    return _round(view(spark, d, "sq").select("drawing_id", "id", diameter.alias("diameter")).where("diameter < 10"), 6, "diameter")
+
+
+@query(f"""WITH p AS (SELECT a.drawing_id, a.id AS a, b.id AS b, a.x0 = b.x0 AND a.y0 = b.y0 AND a.x1 = b.x1 AND a.y1 = b.y1 AS eq,
+  least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
+  AND NOT (a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1) AND NOT (b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1) AS ov,
+  sqrt(greatest(0, greatest(a.x0, b.x0) - least(a.x1, b.x1)) ** 2 + greatest(0, greatest(a.y0, b.y0) - least(a.y1, b.y1)) ** 2) AS d
+  FROM {RECT} a JOIN {RECT} b ON a.drawing_id = b.drawing_id AND a.id < b.id)
+SELECT drawing_id, a, b, CASE WHEN eq THEN 'duplicate' WHEN ov THEN 'overlap' ELSE 'spacing' END AS kind FROM p WHERE eq OR ov OR (d > 1e-9 AND d < 0.3)""")
+def kerf_spacing(spark, d):
+    return rings.spacing(view(spark, d, "rect"))
+
+
+SEV = "CASE code WHEN 'OPEN_GAP' THEN 2 WHEN 'AMBIGUOUS_JUNCTION' THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT drawing_id, diag_ord, code, {SEV} AS severity FROM {DIAG} g")
+def diag_classify(spark, d):
+    return report.classified(view(spark, d, "diag"))
+
+
+@query(f"""SELECT drawing_id, CASE max({SEV}) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'ok' END AS level, count(*) FILTER (WHERE {SEV} = 2) AS criticals, count(*) FILTER (WHERE {SEV} = 1) AS warnings,
+  CAST(max({SEV}) AS BIGINT) AS exit_code FROM {DIAG} g GROUP BY drawing_id""")
+def report_level(spark, d):
+    return report.report_level(view(spark, d, "diag"))
+
+
+@query(f"SELECT drawing_id, 'diag_' || code AS info, count(*) AS n FROM {DIAG} g GROUP BY ALL")
+def info_counts(spark, d):
+    return report.info_counts(view(spark, d, "diag"))
+
+
+@query(f"SELECT CAST(max({SEV}) AS BIGINT) AS exit_code FROM {DIAG} g")
+def exit_code(spark, d):
+    return report.report_level(view(spark, d, "diag")).agg(F.max("exit_code").alias("exit_code"))
+
+
+@query(f"SELECT drawing_id, min(least(sx, ex)) AS min_x, min(least(sy, ey)) AS min_y, max(greatest(sx, ex)) AS max_x, max(greatest(sy, ey)) AS max_y, count(*) AS nodes FROM {SEG} s GROUP BY drawing_id")
+def extents(spark, d):
+    low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
+    return view(spark, d, "seg").groupBy("drawing_id").agg(low("sx", "ex").alias("min_x"), low("sy", "ey").alias("min_y"), high("sx", "ex").alias("max_x"), high("sy", "ey").alias("max_y"), F.count("*").alias("nodes"))
+
+
+@query(f"""WITH h AS (SELECT drawing_id, gray, count(*) AS n FROM {PX} p GROUP BY ALL),
+s AS (SELECT drawing_id, gray, sum(n) OVER w AS w0, sum(n * gray) OVER w AS s0, sum(n) OVER (PARTITION BY drawing_id) AS w, sum(n * gray) OVER (PARTITION BY drawing_id) AS s FROM h WINDOW w AS (PARTITION BY drawing_id ORDER BY gray)),
+v AS (SELECT *, CAST(w * s0 - w0 * s AS DOUBLE) * CAST(w * s0 - w0 * s AS DOUBLE) / CAST(w0 * (w - w0) AS DOUBLE) AS var FROM s WHERE w0 < w)
+SELECT drawing_id, gray AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY var DESC, gray) AS rn FROM v) q WHERE rn = 1""")
+def otsu_threshold(spark, d):
+    return report.otsu(view(spark, d, "px"))
+
+
+@query(f"SELECT drawing_id, {_r('avg(CASE WHEN gray < 128 THEN 1.0 ELSE 0.0 END)', 6, 'fill')}, avg(CASE WHEN gray < 128 THEN 1.0 ELSE 0.0 END) > 0.8 AS inverted FROM {PX} p GROUP BY drawing_id")
+def fill_ratio(spark, d):
+    fill = view(spark, d, "px").groupBy("drawing_id").agg(F.avg((C("gray") < 128).cast("double")).alias("fill"))
+    return _round(fill.withColumn("inverted", C("fill") > 0.8), 6, "fill")
+
+
+@query(f"""WITH a AS (SELECT drawing_id, count(*) AS segments FROM {SEG} s GROUP BY 1), b AS (SELECT drawing_id, count(*) AS groups FROM (SELECT drawing_id FROM ({KEY} {SEG} s) k GROUP BY drawing_id, px, py, qx, qy HAVING count(*) > 1) GROUP BY 1)
+SELECT drawing_id, segments, coalesce(groups, 0) AS duplicate_groups, CASE WHEN coalesce(groups, 0) > 0 THEN 'warning' ELSE 'ok' END AS level FROM a LEFT JOIN b USING (drawing_id)""")
+def drawing_report(spark, d):
+    """Segments, duplicate groups and a level for each drawing, from one shuffle by
+    segment key and one by drawing."""
+    keys = segments.keyed(view(spark, d, "seg")).groupBy("drawing_id", "key").agg(F.count("*").alias("n"))
+    per = keys.groupBy("drawing_id").agg(F.sum("n").alias("segments"), F.sum((C("n") > 1).cast("long")).alias("duplicate_groups"))
+    return per.withColumn("level", F.when(C("duplicate_groups") > 0, "warning").otherwise("ok"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
