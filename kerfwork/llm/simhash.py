@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import broadcast_if_small, cut, map_texts, small_batches
+from kerfwork.llm.common import cut, map_texts, small_batches
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
 LARGE = 4096
@@ -240,7 +240,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
     least = named.groupBy("root").agg(F.min("first").alias("linked"))
     linked = cut(named.join(least, "root").select(F.col("fp").alias("__fp"), "linked"))
     groups = distinct.join(linked, distinct["fp"] == linked["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("linked", "first").alias("component_id"))
-    # Alone in its group by a fingerprint that nobody shares: no join is needed.
+    # Written, so that the last join stands alone and a fingerprint of very many exact
+    # copies can be split over tasks.
+    groups = cut(groups)
     return marked.join(groups, marked["fp"] == groups["__fp"]).select("doc_id", "fp", "component_id")
 
 
