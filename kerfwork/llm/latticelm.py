@@ -243,6 +243,20 @@ def score_words(vocabulary: DataFrame, pieces: Vocabulary, tokens: int, distinct
     return vocabulary.select("word", "c").mapInArrow(run, "word string, c long, h long, base double, model double")
 
 
+def most_frequent(scored: DataFrame, most: int) -> DataFrame:
+    """The words of the highest count classes (an eighth of a doubling each) that hold
+    at most ``most`` words together. The class table is a few hundred rows."""
+    level = F.floor(8 * F.log2(F.greatest(F.col("c"), F.lit(1))))
+    classes = sorted((r["level"], r["count"]) for r in scored.groupBy(level.alias("level")).count().collect())
+    total, least = 0, None
+    for value, n in reversed(classes):
+        total += n
+        if total > most:
+            break
+        least = value
+    return scored.where(level >= least if least is not None else F.lit(False))
+
+
 def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for
     ``docs`` (doc_id, text, learn)."""
@@ -259,7 +273,7 @@ def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     spelled = expect.sum() + len(expect)
     learned = Vocabulary({p: math.log((x + 1e-3 + 1e-3) / spelled) for p, x in zip(first.names, expect, strict=False)}, math.log((expect[-1] + 1) / spelled) + math.log(1 / 256))
     scored = cut(score_words(counted, learned, tokens, distinct, known_mass))
-    common = {r["word"].encode("utf-8", "surrogatepass"): (r["c"] > 0, r["base"], r["model"]) for r in scored.orderBy(F.desc("c"), "word").limit(COMMON).collect()}
+    common = {r["word"].encode("utf-8", "surrogatepass"): (r["c"] > 0, r["base"], r["model"]) for r in most_frequent(scored, COMMON).collect()}
     shared = spark.sparkContext.broadcast(common)  # COMMON entries at most
     end_base = math.log10((ends + 0.5) / (tokens + 0.5 * (distinct + 1)))
     end_model = math.log10(max(ends - DISCOUNT, 0.5) / max(tokens, 1))
