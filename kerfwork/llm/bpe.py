@@ -40,31 +40,39 @@ def cuts(text: str) -> list[str]:
 
 class CutCache:
     """Encodes texts by their cuts. ``encode(list of str)`` gives the ids of each as
-    little-endian uint32 bytes."""
+    little-endian uint32 bytes. Cuts met lately are kept in two generations: when the
+    younger is full it becomes the older one, from which cuts in use are taken over,
+    so that frequent ones are never encoded again."""
 
     def __init__(self, encode, kept: int = KEPT):
         self.encode, self.kept = encode, kept
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, wanted: list[str], lead: str) -> None:
+        """Keys are cuts behind ``lead``: all but first cuts go without their space."""
+        new = []
+        for x in wanted:
+            known = self.old.get(x)
+            if known is None:
+                new.append(x)
+            else:
+                self.young[x] = known
+        if new:
+            self.young.update(zip(new, self.encode([lead + x for x in new]), strict=True))
 
     def texts(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
         parts = [cuts(t) for t in texts]
-        if len(self.first) + len(self.rest) > self.kept:
-            self.first.clear()
-            self.rest.clear()
-        new: dict[str, None] = {}
+        heads = list(dict.fromkeys(p[0] for p in parts))
+        first = dict(zip(heads, self.encode(heads), strict=True))
+        distinct = set()
         for p in parts:
-            if p[0] not in self.first:
-                self.first[p[0]] = b""
-                new[p[0]] = None
-        heads = list(new)
-        tails = list({x for p in parts for x in p[1:] if x not in self.rest})
-        if heads or tails:
-            ids = self.encode(heads + [" " + x for x in tails])
-            self.first.update(zip(heads, ids[: len(heads)], strict=True))
-            self.rest.update(zip(tails, ids[len(heads) :], strict=True))
-        get = self.rest.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
+            distinct.update(p[1:])
+        self._learn([x for x in distinct if x not in self.young], " ")
+        get = self.young.__getitem__
+        return [first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
 
 
 class ByteBpe:
