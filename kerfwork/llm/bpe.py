@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kerfwork.llm.common import PairTable, map_texts
 
-LONGEST, KEPT = 192, 500_000
+LONGEST, KEPT = 192, 350_000
 NONE = 1 << 40
 UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)")
 EVEN_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -75,6 +75,16 @@ class CutCache:
         return [first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
 
 
+_CACHES: dict[str, CutCache] = {}
+
+
+def worker_cache(name: str, encode) -> CutCache:
+    """The cache of this Python worker for one vocabulary; it outlives tasks."""
+    if name not in _CACHES:
+        _CACHES[name] = CutCache(encode)
+    return _CACHES[name]
+
+
 class ByteBpe:
     """Ranks as {token bytes: rank}; a rank is the token's id."""
 
@@ -216,7 +226,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str]) ->
 
     def make():
         bpe = tokenizer(path, pattern)
-        cache = CutCache(bpe.encode)
+        cache = worker_cache(path, bpe.encode)
         names = [str(i) for i in range(len(bpe.size))]
 
         def work(texts: list) -> list[list]:
@@ -237,7 +247,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the ids themselves, as little-endian uint32 bytes."""
 
     def make():
-        cache = CutCache(tokenizer(path, pattern).encode)
+        cache = worker_cache(path, tokenizer(path, pattern).encode)
         return lambda texts: [cache.texts([t or "" for t in texts])]
 
     return map_texts(docs, ["doc_id"], {"ids": "binary"}, make)

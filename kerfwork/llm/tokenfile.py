@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.bpe import CutCache
+from kerfwork.llm.bpe import worker_cache
 from kerfwork.llm.common import PIECE_BYTES, shared_dir, small_batches
 
 _LOADED: dict = {}
@@ -95,7 +95,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2) -> list[dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, vocabulary = library_encoder(path)
-        cache, kind = CutCache(encode), "<u2" if vocabulary <= 1 << 16 else "<u4"
+        cache, kind = worker_cache(path, encode), "<u2" if vocabulary <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
         part, mark = TaskContext.get().partitionId(), uuid.uuid4().hex
         stem = os.path.join(folder, f"{part:08d}")
