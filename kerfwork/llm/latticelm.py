@@ -41,7 +41,7 @@ from kerfwork.llm.common import PairTable, broadcast_if_small, crc_bucket, cut,
 MARK = "▁"
 COMMON = 60_000
 #: Distinct words a counting task holds before it passes them on.
-HELD = 300_000
+HELD = 60_000
 DISCOUNT = 0.6
 LN10 = math.log(10)
 PRIME = np.uint64(0x100000001B3)
