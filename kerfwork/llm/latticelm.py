@@ -71,13 +71,16 @@ class Vocabulary:
             h = (h * int(PRIME) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All lattice edges of words of equal or lesser length: (row, begin, end,
-        piece). Position 0 is before MARK."""
+    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        """The words' lattice: score (width, words) of each character in bytes, their
+        lengths, and the edges of pieces (row, begin, size, piece). Position 0 is
+        before MARK; characters past a word's end only fill the matrix."""
         n = np.array([len(w) + 1 for w in words])
         width = int(n.max())
         text = "".join((MARK + w).ljust(width, "\0") for w in words)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width).astype(np.uint64)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)
+        in_bytes = self.byte_score * (1.0 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)).T
+        code = code.astype(np.uint64)
         row, begin = np.nonzero(np.arange(width)[None, :] < n[:, None])
         hashed = np.zeros(len(row), np.uint64)
         found, size = [], 0
@@ -87,10 +90,10 @@ class Vocabulary:
                 piece = self.table.get(hashed)
                 size += 1
                 whole = (piece >= 0) & (piece < len(self.names))
-                found.append((row[whole], begin[whole], begin[whole] + size, piece[whole]))
+                found.append((row[whole], begin[whole], np.full(np.count_nonzero(whole), size), piece[whole]))
                 go = (piece >= 0) & (begin + size < n[row])
                 row, begin, hashed = row[go], begin[go], hashed[go]
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        return in_bytes, n, tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def groups(self, words: list[str]) -> Iterator[np.ndarray]:
         length = np.array([len(w) for w in words])
@@ -108,49 +111,40 @@ class Vocabulary:
         piece counts of the words, each with its weight."""
         out = np.zeros(len(words))
         for rows in self.groups(words):
-            group = [words[r] for r in rows]
-            n = np.array([len(w) + 1 for w in group])
-            width = int(n.max())
-            row, begin, end, piece = self.edges(group)
-            # Any character may be spelled in bytes.
-            one_row, one = np.nonzero(np.arange(width)[None, :] < n[:, None])
-            size = np.array([len(c.encode("utf-8", "surrogatepass")) for w in group for c in MARK + w])
-            row, begin, end = (np.concatenate(x) for x in ((row, one_row), (begin, one), (end, one + 1)))
-            score = np.concatenate([self.scores[piece], self.byte_score * size])
-            order = np.argsort(end, kind="stable")
-            row, begin, end, score = row[order], begin[order], end[order], score[order]
-            cut_at = np.searchsorted(end, np.arange(1, width + 2))
-            alpha = np.full((len(group), width + 1), -np.inf)
-            alpha[:, 0] = 0
+            in_bytes, n, (row, begin, size, piece) = self.edges([words[r] for r in rows])
+            width, most = len(in_bytes), int(size.max(initial=1))
+            score = self.scores[piece]
+            # Edges by their end and size; any character may be spelled in bytes.
+            into = np.full((width + 1, most, len(rows)), -np.inf)
+            into[begin + size, size - 1, row] = score
+            into[1:, 0] = np.logaddexp(into[1:, 0], in_bytes)
+            alpha = np.full((width + 1, len(rows)), -np.inf)
+            alpha[0] = 0
             for p in range(1, width + 1):
-                a, b = cut_at[p - 1], cut_at[p]
-                self._gather(alpha, p, row[a:b], alpha[row[a:b], begin[a:b]] + score[a:b])
-            total = alpha[np.arange(len(group)), n]
+                k = min(p, most)
+                alpha[p] = self._log_sum(alpha[p - k : p][::-1] + into[p, :k])
+            total = alpha[n, np.arange(len(rows))]
             out[rows] = total
             if expect is not None:
-                beta = np.full((len(group), width + 1), -np.inf)
-                beta[np.arange(len(group)), n] = 0
-                back = np.argsort(begin, kind="stable")
-                marks = np.searchsorted(begin[back], np.arange(width + 1))
+                past = np.arange(width + 1)[:, None] > n
+                beta = np.where(np.arange(width + 1)[:, None] == n, 0.0, -np.inf)
                 for p in range(width - 1, -1, -1):
-                    e = back[marks[p] : marks[p + 1]]
-                    self._gather(beta, p, row[e], beta[row[e], end[e]] + score[e])
-                share = np.exp(alpha[row, begin] + score + beta[row, end] - total[row]) * weight[rows][row]
-                known = np.concatenate([piece, np.full(len(one_row), len(self.names))])[order]
-                expect += np.bincount(known, share, len(self.names) + 1)
+                    k = min(width - p, most)
+                    step = np.arange(k)
+                    beta[p] = np.where(past[p] | (p == n), beta[p], self._log_sum(beta[p + 1 : p + 1 + k] + into[p + 1 + step, step]))
+                share = np.exp(alpha[begin, row] + score + beta[begin + size, row] - total[row]) * weight[rows][row]
+                spelled = np.exp(alpha[:-1] + in_bytes + beta[1:] - total) * weight[rows]
+                expect[:-1] += np.bincount(piece, share, len(self.names))
+                expect[-1] += spelled.sum()
         return out
 
     @staticmethod
-    def _gather(into: np.ndarray, p: int, row: np.ndarray, value: np.ndarray) -> None:
-        """into[row, p] = log of the sum of exp(value) by row, on top of what is there."""
-        if len(row):
-            top = np.full(len(into), -np.inf)
-            np.maximum.at(top, row, value)
-            top = np.maximum(top, into[:, p])
-            safe = np.where(np.isfinite(top), top, 0)
-            total = np.bincount(row, np.exp(value - safe[row]), len(into)) + np.exp(into[:, p] - safe)
-            with np.errstate(divide="ignore"):
-                into[:, p] = np.log(total) + safe
+    def _log_sum(terms: np.ndarray) -> np.ndarray:
+        """Log of the sum of exp over the first axis."""
+        top = terms.max(0)
+        safe = np.where(np.isfinite(top), top, 0)
+        with np.errstate(divide="ignore"):
+            return np.log(np.exp(terms - safe).sum(0)) + safe
 
 
 def existing_pieces(path: str) -> dict[str, float]:
