@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerfwork.functions.geometry import arc_angles, arc_steps, bulge_arc, circle_3pt, rounded
-from kerfwork.operators import report, rings, segments
+from kerfwork.operators import outlines, report, rings, segments
 from kerfwork.plans.views import duck, view
+from kerfwork.sources import dxf
 
 C = F.col
 
@@ -373,6 +374,56 @@ def drawing_report(spark, d):
     return per.withColumn("level", F.when(C("duplicate_groups") > 0, "warning").otherwise("ok"))
 
 
+def _line(sx: str, sy: str, ex: str, ey: str):
+    ends = [F.expr(e).cast("double").alias(n) for e, n in ((sx, "sx"), (sy, "sy"), (ex, "ex"), (ey, "ey"))]
+    return F.struct(F.lit("line").alias("kind"), *ends, *[F.lit(None).cast("double").alias(n) for n in ("cx", "cy", "radius")], F.lit(None).cast("boolean").alias("ccw"))
+
+
+def _outlines(spark, d) -> DataFrame:
+    """Rectangles as contours of eight lines, two a side."""
+    mx, my = "(x0 + x1) / 2", "(y0 + y1) / 2"
+    spots = [("x0", "y0"), (mx, "y0"), ("x1", "y0"), ("x1", my), ("x1", "y1"), (mx, "y1"), ("x0", "y1"), ("x0", my)]
+    sides = F.array(*[_line(*a, *b) for a, b in zip(spots, spots[1:] + spots[:1], strict=True)])
+    return view(spark, d, "rect").select("drawing_id", C("id").alias("ord"), F.lit(True).alias("closed"), sides.alias("segments"))
+
+
+def _reread(drawings: DataFrame) -> DataFrame:
+    """Drawings written as DXF texts and read again; path is the drawing."""
+    texts = dxf.documents_of(drawings, "drawing_id")
+    return dxf.from_files(texts.select(C("drawing_id").cast("string").alias("path"), C("value").cast("binary").alias("content"))).withColumn("drawing_id", C("path").cast("long"))
+
+
+@query(f"SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY id) - 1 AS ord, true AS closed, 8 AS lines, x0 AS min_x, y0 AS min_y, x1 AS max_x, y1 AS max_y FROM {RECT} r")
+def dxf_roundtrip(spark, d):
+    got = _reread(_outlines(spark, d))
+    return got.select("drawing_id", "ord", "closed", F.size("segments").alias("lines"), *[f(f"segments.s{c}").alias(f"{n}_{c}") for n, f in (("min", F.array_min), ("max", F.array_max)) for c in "xy"])
+
+
+@query(f"SELECT id % 11 AS drawing_id, row_number() OVER (PARTITION BY id % 11 ORDER BY id) - 1 AS ord, {_r('cx', 5, 'cx')}, {_r('cy', 5, 'cy')}, {_r('radius', 5, 'radius')}, ccw FROM ({ARC_SQL}) t")
+def dxf_bulges(spark, d):
+    """Arcs through the bulges of written polylines."""
+    arc = F.struct(F.lit("arc").alias("kind"), *[C(a).alias(b) for a, b in (("x0", "sx"), ("y0", "sy"), ("x1", "ex"), ("y1", "ey"))], "cx", "cy", "radius", "ccw")
+    got = _reread(_arcs(spark, d).select((C("id") % 11).alias("drawing_id"), C("id").alias("ord"), F.lit(False).alias("closed"), F.array(arc).alias("segments")))
+    return _round(got.select("drawing_id", "ord", F.inline("segments")).select("drawing_id", "ord", "cx", "cy", "radius", "ccw"), 5, "cx", "cy", "radius")
+
+
+@query(f"SELECT drawing_id, id, 4 AS lines, false AS reverted, {_r('2 * (x1 - x0) + 2 * (y1 - y0)', 6, 'perimeter')} FROM {RECT} r")
+def simplify_contours(spark, d):
+    got = outlines.simplified(_outlines(spark, d), ["drawing_id", "ord"])
+    length = F.aggregate("segments", F.lit(0.0), lambda t, s: t + F.hypot(s["ex"] - s["sx"], s["ey"] - s["sy"]))
+    return _round(got.select("drawing_id", C("ord").alias("id"), F.size("segments").alias("lines"), "reverted", length.alias("perimeter")), 6, "perimeter")
+
+
+@query("SELECT p_partkey AS id, 1 AS arcs, 1 AS lines, CAST(p_size AS DOUBLE) AS radius, true AS ccw FROM part")
+def arc_detect(spark, d):
+    """A ring of 64 points on a circle: one arc, and the line that closes it."""
+    point = lambda k: F.struct((C("p_size") * F.cos(2 * F.pi() * k / 64)).alias("x"), (C("p_size") * F.sin(2 * F.pi() * k / 64)).alias("y"))
+    ring = spark.read.parquet(f"{d}/part.parquet").select(C("p_partkey").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(63)), point).alias("points"))
+    got = outlines.with_arcs(ring, ["id"])
+    count = lambda kind: F.size(F.filter("segments", lambda s: s["kind"] == kind))
+    return _round(got.select("id", count("arc").alias("arcs"), count("line").alias("lines"), F.array_max("segments.radius").alias("radius"), F.get("segments.ccw", 0).alias("ccw")), 6, "radius")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
