@@ -141,7 +141,7 @@ def chain(seg: DataFrame) -> DataFrame:
     rooted = pairs.join(found.select("drawing_id", F.col("pt").alias("a"), "root"), ["drawing_id", "a"]).select("drawing_id", "root", "seg_id", "s", "e")
 
     dealt = rooted.repartition("drawing_id", "root").sortWithinPartitions("drawing_id", "root", "seg_id")
-    return dealt.mapInPandas(_walk_groups, "drawing_id long, contour_id long, seg_id long, seg_ord long, reversed boolean")
+    return dealt.mapInPandas(_walk_groups, f"drawing_id {seg.schema['drawing_id'].dataType.simpleString()}, contour_id long, seg_id long, seg_ord long, reversed boolean")
 
 
 def _walk(rows: list[list[int]]) -> list[tuple]:
