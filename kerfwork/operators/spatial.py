@@ -50,6 +50,30 @@ def box_pairs(boxes: DataFrame, cell: float, grow: float = 0.0, residual: Column
     return met.where(residual) if residual is not None else met
 
 
+def box_pairs_of_any_size(boxes: DataFrame, grow: float = 0.0) -> DataFrame:
+    """As ``box_pairs``, for boxes of very different sizes (a sheet and its holes). A
+    box lives in cells as wide as itself, rounded up to a power of two, so in four at
+    most; it looks for others at its own size and at each larger size that its drawing
+    has. Ids come out in order, a below b."""
+    wide = boxes.select("drawing_id", "id", "x0", "y0", "x1", "y1", *[(F.col(f"{c}0") - grow).alias(f"l{c}") for c in "xy"], *[(F.col(f"{c}1") + grow).alias(f"h{c}") for c in "xy"])
+    size = F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"), F.lit(2.0**-10))
+    sized = wide.withColumn("level", F.least(F.greatest(F.ceil(F.log2(size)), F.lit(-6)), F.lit(20)).cast("int"))
+    sizes = sized.groupBy("drawing_id").agg(F.collect_set("level").alias("levels"))
+    cell = lambda c, at: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col(at)))
+
+    def placed(rows: DataFrame, s: str) -> DataFrame:
+        cells = rows.withColumn("gx", F.explode(F.sequence(cell("lx", "at"), cell("hx", "at")))).withColumn("gy", F.explode(F.sequence(cell("ly", "at"), cell("hy", "at"))))
+        return cells.select("drawing_id", "at", "gx", "gy", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "level", "x0", "y0", "x1", "y1", "lx", "ly", "hx", "hy")])
+
+    seeker = placed(sized.join(sizes, "drawing_id").withColumn("at", F.explode(F.filter("levels", lambda n: n >= F.col("level")))), "s")
+    home = placed(sized.withColumn("at", F.col("level")), "h")
+    met = seeker.join(home, ["drawing_id", "at", "gx", "gy"]).where((F.col("s_level") < F.col("h_level")) | (F.col("s_id") < F.col("h_id")))
+    for c in "xy":
+        low = F.greatest(f"s_l{c}", f"h_l{c}")
+        met = met.where((F.col(f"g{c}") == F.floor(low / F.pow(F.lit(2.0), F.col("at")))) & (low <= F.least(f"s_h{c}", f"h_h{c}")) & (F.col("s_level") <= F.col("h_level")))
+    return met.select("drawing_id", F.least("s_id", "h_id").alias("a"), F.greatest("s_id", "h_id").alias("b"))
+
+
 def components(nodes: DataFrame, pairs: DataFrame, id_: str = "pt") -> DataFrame:
     """(drawing_id, id, root): the least id reachable over ``pairs`` (drawing_id, a,
     b). Each round takes the least root among neighbours, then jumps to that root's
