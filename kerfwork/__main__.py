@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.plans.clean import Config, clean_folder
+from kerfwork.plans.clean import Config, clean_folder, settings_of
 
 
 def above_zero(text: str) -> float:
@@ -23,11 +23,21 @@ def above_zero(text: str) -> float:
     return value
 
 
+def loaded(name: str) -> dict:
+    """Settings of a JSON file, or of a YAML file where its parser is installed."""
+    text = Path(name).read_text("utf-8")
+    if name.lower().endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
+
+
 def parsed(words: list[str] | None = None) -> tuple[argparse.Namespace, Config]:
     p = argparse.ArgumentParser(prog="kerfwork")
     p.add_argument("folder")
     p.add_argument("--out", help="folder for the drawings and the report; without it they are only checked")
-    p.add_argument("--config", help="JSON file of settings")
+    p.add_argument("--config", help="JSON or YAML file of settings")
     p.add_argument("--force", action="store_true", help="write drawings with critical findings, too")
     p.add_argument("--snap-tolerance", type=above_zero)
     p.add_argument("--no-simplify", action="store_true")
@@ -37,7 +47,7 @@ def parsed(words: list[str] | None = None) -> tuple[argparse.Namespace, Config]:
     p.add_argument("--threshold", type=int)
     p.add_argument("--invert", action="store_true")
     given = p.parse_args(words)
-    settings = json.loads(Path(given.config).read_text("utf-8")) if given.config else {}
+    settings, given.image = settings_of(loaded(given.config) if given.config else {})
     if given.snap_tolerance is not None:
         settings["snap_tolerance"] = given.snap_tolerance
     if given.no_simplify:
@@ -48,7 +58,11 @@ def parsed(words: list[str] | None = None) -> tuple[argparse.Namespace, Config]:
 def main(words: list[str] | None = None) -> int:
     given, config = parsed(words)
     size = {n: getattr(given, n) for n in ("width_mm", "height_mm", "pixels_per_mm") if getattr(given, n) is not None}
-    options = {**size, "threshold": given.threshold, "invert": given.invert} if size else None
+    named = {"threshold": given.threshold, "invert": given.invert or None}
+    options = {**given.image, **{n: v for n, v in named.items() if v is not None}}
+    if size:
+        options = {n: v for n, v in options.items() if n != "pixels_per_mm"} | size
+    options = options if {"width_mm", "height_mm", "pixels_per_mm"} & options.keys() else None
     found = clean_folder(SparkSession.builder.getOrCreate(), given.folder, given.out, config, given.force, options)
     counts = {r["level"]: (r["n"], r["worst"]) for r in found.groupBy("level").agg(F.count("*").alias("n"), F.max("exit_code").alias("worst")).collect()}
     for level, (n, _) in sorted(counts.items()):

@@ -79,7 +79,10 @@ def relations(shapes: DataFrame, grow: float = 0.0) -> DataFrame:
     good = shapes.where(F.col("rings").isNotNull())
     pairs = box_pairs_of_any_size(good.select("drawing_id", F.col("contour_id").alias("id"), *BOX), grow)
     side = lambda s: good.select("drawing_id", F.col("contour_id").alias(s), F.col("rings").alias(f"{s}_rings"))
-    rows = pairs.join(side("a"), ["drawing_id", "a"]).join(side("b"), ["drawing_id", "b"]).select("drawing_id", "a", "b", "a_rings", "b_rings").repartition("drawing_id", "a", "b")
+    # The work is in judging, not in bytes, so the number of tasks is given: small
+    # partitions would be coalesced.
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.join(side("a"), ["drawing_id", "a"]).join(side("b"), ["drawing_id", "b"]).select("drawing_id", "a", "b", "a_rings", "b_rings").repartition(tasks, "drawing_id", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

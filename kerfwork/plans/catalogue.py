@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerfwork.functions.geometry import arc_angles, arc_steps, bulge_arc, circle_3pt, rounded
-from kerfwork.operators import outlines, report, rings, segments
+from kerfwork.operators import outlined, outlines, report, rings, segments
 from kerfwork.plans.views import duck, view
 from kerfwork.sources import dxf
 
@@ -424,6 +424,48 @@ def arc_detect(spark, d):
     return _round(got.select("id", count("arc").alias("arcs"), count("line").alias("lines"), F.array_max("segments.radius").alias("radius"), F.get("segments.ccw", 0).alias("ccw")), 6, "radius")
 
 
+def _boxes(spark, d) -> DataFrame:
+    return _outlines(spark, d).withColumnRenamed("ord", "contour_id").withColumn("touched", F.lit(False))
+
+
+HOLDS = "{0}.x0 <= {1}.x0 AND {0}.y0 <= {1}.y0 AND {0}.x1 >= {1}.x1 AND {0}.y1 >= {1}.y1"
+SHARED = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+APART = "sqrt(greatest(greatest(a.x0, b.x0) - least(a.x1, b.x1), 0) ** 2 + greatest(greatest(a.y0, b.y0) - least(a.y1, b.y1), 0) ** 2)"
+
+
+@query(f"""SELECT drawing_id, a, b, CASE WHEN ab AND ba THEN 'equal' WHEN ba THEN 'inside' WHEN ab THEN 'around' WHEN shared > 0 THEN 'overlap' ELSE 'apart' END AS kind,
+  {_r('shared', 6, 'shared')}, {_r('distance', 6, 'distance')} FROM (SELECT a.drawing_id, a.id AS a, b.id AS b, {HOLDS.format('a', 'b')} AS ab, {HOLDS.format('b', 'a')} AS ba, {SHARED} AS shared, {APART} AS distance
+  FROM {RECT} a JOIN {RECT} b ON a.drawing_id = b.drawing_id AND a.id < b.id
+  AND a.x0 - 0.15 <= b.x1 + 0.15 AND b.x0 - 0.15 <= a.x1 + 0.15 AND a.y0 - 0.15 <= b.y1 + 0.15 AND b.y0 - 0.15 <= a.y1 + 0.15) t""")
+def polygon_pairs(spark, d):
+    return _round(outlined.relations(outlined.polygons_of(_boxes(spark, d)), 0.15), 6, "shared", "distance")
+
+
+@query(f"""SELECT i.drawing_id, i.id AS contour_id, count(o.id) AS depth, arg_min(o.id, ((o.x1 - o.x0) * (o.y1 - o.y0), o.id)) AS parent
+  FROM {RECT} i LEFT JOIN {RECT} o ON o.drawing_id = i.drawing_id AND o.id <> i.id AND {HOLDS.format('o', 'i')} GROUP BY i.drawing_id, i.id""")
+def polygon_nest(spark, d):
+    shapes = outlined.polygons_of(_boxes(spark, d))
+    return outlined.nested(shapes, outlined.relations(shapes)).select("drawing_id", "contour_id", "depth", "parent")
+
+
+@query(f"""SELECT drawing_id, {_r('count(*) / CAST(8 AS DOUBLE)', 6, 'area')} FROM (SELECT DISTINCT drawing_id, x, unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS y
+  FROM (SELECT drawing_id, y0, y1, unnest(range(CAST(x0 * 8 AS BIGINT), CAST(x1 * 8 AS BIGINT))) AS x FROM {RECT} r) u) v GROUP BY drawing_id""")
+def weld_all(spark, d):
+    """Area of all rectangles united: outlines run one way and holes the other."""
+    made, _ = outlined.weld(_boxes(spark, d), "all")
+    signed = F.aggregate("segments", F.lit(0.0), lambda t, s: t + s["sx"] * s["ey"] - s["ex"] * s["sy"]) / 2
+    return _round(made.groupBy("drawing_id").agg(F.sum(signed).alias("area")), 6, "area")
+
+
+@query(f"SELECT drawing_id, id AS contour_id, true AS fixed, {_r('(x1 - x0) * (y1 - y0) / 4', 6, 'area')} FROM {RECT} r")
+def polygon_repair(spark, d):
+    """Bow-ties: two triangles, of which one is taken."""
+    spots = [("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1")]
+    sides = F.array(*[_line(*a, *b) for a, b in zip(spots, spots[1:] + spots[:1], strict=True)])
+    rows = view(spark, d, "rect").select("drawing_id", C("id").alias("contour_id"), sides.alias("segments"))
+    return _round(outlined.polygons_of(rows).select("drawing_id", "contour_id", "fixed", "area"), 6, "area")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
