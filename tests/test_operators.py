@@ -49,4 +49,4 @@ def test_nesting_20_10_2(spark):
 
 
 def test_every_code_has_a_severity():
-    assert len(report.SEVERITY) == 25 and set(report.SEVERITY.values()) == {0, 1, 2}
+    assert len(report.SEVERITY) == 32 and set(report.SEVERITY.values()) == {0, 1, 2}
