@@ -43,10 +43,11 @@ LARGE = 4096
 STEP = 1 << 16
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
+def shingles(text: str, size: int) -> np.ndarray:
+    """XXH64 hashes of a text's word shingles, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     flat = b" ".join(words)
     length = np.fromiter(map(len, words), np.int64, len(words)) + 1
     end = np.cumsum(length) - 1
@@ -54,7 +55,14 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     n = max(1, len(words) - size + 1)
     last = end[min(size, len(words)) - 1 :][:n]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(flat[a:b], 42) for a, b in zip(begin[:n].tolist(), last.tolist(), strict=True)], "<u8")
+    return np.array([h(flat[a:b], 42) for a, b in zip(begin[:n].tolist(), last.tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    hashes = shingles(text, size)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, STEP):
         part = hashes[at : at + STEP]
