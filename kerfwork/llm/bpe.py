@@ -221,8 +221,9 @@ def tokenizer(path: str, pattern: str) -> ByteBpe:
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns, n_tokens and hashes of the ids and of the bytes they decode to."""
+def encode_ids(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, n_tokens, the ids as little-endian uint32 bytes, and hashes of
+    the ids and of the bytes they decode to. One pass, so a task has one tokenizer."""
 
     def make():
         bpe = tokenizer(path, pattern)
@@ -231,26 +232,22 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str]) ->
 
         def work(texts: list) -> list[list]:
             n, ids_hash, bytes_hash = [], [], []
-            for raw in cache.texts([t or "" for t in texts]):
+            encoded = cache.texts([t or "" for t in texts])
+            for raw in encoded:
                 ids = np.frombuffer(raw, "<u4")
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
                 bytes_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            return [n, ids_hash, bytes_hash]
+            return [n, encoded, ids_hash, bytes_hash]
 
         return work
 
-    return map_texts(docs, keep, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, make)
+    return map_texts(docs, keep, {"n_tokens": "long", "ids": "binary", "ids_sha256": "string", "decoded_sha256": "string"}, make)
 
 
-def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): the ids themselves, as little-endian uint32 bytes."""
-
-    def make():
-        cache = worker_cache(path, tokenizer(path, pattern).encode)
-        return lambda texts: [cache.texts([t or "" for t in texts])]
-
-    return map_texts(docs, ["doc_id"], {"ids": "binary"}, make)
+def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, n_tokens and hashes of the ids and of the bytes they decode to."""
+    return encode_ids(docs, path, pattern, keep).drop("ids")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,14 @@
 """Stages of the pipeline against brute force."""
 
+import hashlib
 import random
 
+import numpy as np
+import public_tokenizers as P
+import tiktoken
+
 import corpus_pipeline
-from kerfwork.llm import neardup
+from kerfwork.llm import bpe, neardup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,3 +60,14 @@ def test_near_dedup_keeps_rows_without_id(spark):
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
     assert sorted(r.text[0] for r in got) == ["a", "h", "o", "u"]
     assert corpus_pipeline.near_dedup(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
+
+
+def test_encode_gives_ids(spark):
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    texts = {1: "The cat\nsat  é \U0001f600", 2: None, 3: "ab " * 3000}
+    got = corpus_pipeline.encode(spark, spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts.items()], SCHEMA), SF).collect()
+    assert len(got) == 3
+    for r in got:
+        want = own.encode_ordinary(texts[r.doc_id] or "")
+        assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
