@@ -7,6 +7,7 @@ lower-cased. In Python both are exactly ``bytes.lower().split()``.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,6 +57,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written to the shared folder and read back, with a column ``__row`` that
+    names the row and stays the same in every later reading."""
+    folder = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def row_order() -> Column:
+    """Order of ``numbered`` rows: by id (null ids last), hash of the text, row."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("h"), F.col("__row").alias("row"))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast hint if the counted rows are at most ``limit``; else the plain
     frame, for a shuffled join."""

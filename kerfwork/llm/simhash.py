@@ -26,7 +26,7 @@ unless all of its ids are null (then it is null).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import cut, map_texts, small_batches
+from kerfwork.llm.common import cut, map_texts, numbered, row_order, small_batches
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
 LARGE = 4096
@@ -169,13 +169,13 @@ def links(values: np.ndarray, radius: int = RADIUS, free: tuple[tuple[int, int],
     return np.array([_find(parent, i) for i in range(len(values))], np.int64)
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and fp, the fingerprint as a signed 64-bit integer."""
 
     def make():
         return lambda texts: [np.array([fingerprint(t or "", size) for t in texts], np.uint64).view(np.int64)]
 
-    return map_texts(docs, ["doc_id"], {"fp": "long"}, make)
+    return map_texts(docs, list(keep), {"fp": "long"}, make)
 
 
 def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -239,26 +239,35 @@ def components(links_: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
-    marked = cut(fingerprints(docs, size))
+def fingerprint_groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(__fp, root, component_id) for the fingerprints of ``marked`` (doc_id, fp)."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(edges(distinct.select("fp"), radius))
     named = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("linked"))
-    linked = cut(named.join(least, "root").select(F.col("fp").alias("__fp"), "linked"))
-    groups = distinct.join(linked, distinct["fp"] == linked["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("linked", "first").alias("component_id"))
+    linked = cut(named.join(least, "root").select(F.col("fp").alias("__fp"), "root", "linked"))
+    groups = distinct.join(linked, distinct["fp"] == linked["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("root"), F.coalesce("linked", "first").alias("component_id"))
     # Written, so that the last join stands alone and a fingerprint of very many exact
     # copies can be split over tasks.
-    groups = cut(groups)
+    return cut(groups)
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    marked = cut(fingerprints(docs, size))
+    groups = fingerprint_groups(marked, radius)
     return marked.join(groups, marked["fp"] == groups["__fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """``docs`` without the documents that aren't the first of their group; of rows
-    with one id, one stays."""
-    stay = near_duplicates(docs, radius, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` without the rows that aren't the first of their group: the one of the
+    lowest id (by hash of the text among equal ids), null ids last."""
+    rows = numbered(docs)
+    marked = cut(fingerprints(rows.select("doc_id", "text", row_order().alias("order")), size, ["doc_id", "order"]))
+    groups = fingerprint_groups(marked, radius)
+    best = marked.groupBy("fp").agg(F.min("order").alias("first"))
+    kept = best.join(groups, best["fp"] == groups["__fp"]).groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").drop("__row")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from kerfwork.llm import bpe, neardup
+from kerfwork.llm import bpe, neardup, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,3 +71,9 @@ def test_encode_gives_ids(spark):
         want = own.encode_ordinary(texts[r.doc_id] or "")
         assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+
+
+def test_simhash_keep_one_is_by_row(spark):
+    rows = [(None, "a b c d e f g", "en", "a", 1), (None, "h i j k l m n", "en", "a", 1), (None, "h i j k l m n", "en", "b", 1), (3, "o p q r s t", "en", "a", 1), (3, "u v w x y z", "en", "a", 1), (4, "U v w x y z", "en", "a", 1)]
+    got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("3", "o"), ("3", "u"), ("None", "a"), ("None", "h")]
