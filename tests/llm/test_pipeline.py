@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline
-from kerfwork.llm import bpe, neardup, simhash
+from kerfwork.llm import bpe, langid, mixing, neardup, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,3 +79,57 @@ def test_simhash_keep_one_is_by_row(spark):
     rows = [(None, "a b c d e f g", "en", "a", 1), (None, "h i j k l m n", "en", "a", 1), (None, "h i j k l m n", "en", "b", 1), (3, "o p q r s t", "en", "a", 1), (3, "u v w x y z", "en", "a", 1), (4, "U v w x y z", "en", "a", 1)]
     got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("3", "o"), ("3", "u"), ("None", "a"), ("None", "h")]
+
+
+def _language(spark, rows):
+    """Rows of one main language, by the labeller of the same model."""
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").select("text", "lang"))
+    k, found = len(model.labels), langid.Labeller(model).documents([r[1] for r in rows])
+    return [(i, t, lang, s, n) for (i, t, _, s, n), (lang, x) in zip(rows, found, strict=True) if lang != "und" and x * k - 1 >= 0.25 * (k - 1) - 1e-9]
+
+
+def _spans(rows, langs, per, n):
+    rng, out = random.Random(5), []
+    for i in range(n):
+        parts = [rng.choice([t for _, t, lang, *_ in rows if lang == x and len(t.split()) > per]).split() for x in langs]
+        out.append((5000 + i, " ".join(" ".join(p[-per:]) for p in parts), "en", "a", 1))
+    return out
+
+
+def test_language_rejects_texts_without_main_language(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(corpus_pipeline.COLUMNS).collect()]
+    few = [r for r in rows if r[2] in ("en", "de", "fr")]
+    few += _spans(few, ("en", "de", "fr"), 40, 10)
+    got = [tuple(r) for r in corpus_pipeline.language(spark, spark.createDataFrame(few, SCHEMA), SF).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, _language(spark, few)))
+    kept = {r[0] for r in got}
+    assert sum(r[0] in kept for r in few if r[0] >= 5000) <= 3 and sum(r[0] not in kept for r in few if r[0] < 5000) <= 3
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(corpus_pipeline.COLUMNS).collect()]
+    rows += _spans(rows, ("en", "de", "fr", "es"), 30, 5) + [(6000, "12 34", "en", "a", 5), (6001, None, None, "a", None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = sorted(_language(spark, rows))
+    keys = lambda text: [x.strip(" \t\n\x0b\x0c\r").lower() for x in text.split("\n")]
+    seen, within = set(), Counter(k for _, t, *_ in kept for k in set(keys(t)))
+    lines = []
+    for i, t, lang, source, n in kept:
+        out = []
+        for line, key in zip(t.split("\n"), keys(t), strict=True):
+            if not key or within[key] < 10 or key not in seen:
+                out.append(line)
+            seen.add(key)
+        lines.append((i, "\n".join(out), lang, source, n))
+    head = _groups([_shingles(t) for _, t, *_ in lines])
+    first = [r for place, r in enumerate(lines) if head[place] == place]  # sorted by id
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", [(i, t, s) for i, t, _, s, _ in first])
+    copies = {i: taken // size if size else 0 for i, size, _, _, taken in con.sql(mixing.SQL).fetchall()}
+    text = {i: t for i, t, *_ in first}
+    want = Counter({(i, hashlib.sha256(text[i].encode()).hexdigest()): n for i, n in copies.items() if n})
+    assert Counter((r.doc_id, r.decoded_sha256) for r in got) == want
