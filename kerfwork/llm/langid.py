@@ -19,6 +19,7 @@ are labelled alike. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -282,20 +283,29 @@ class Labeller:
 
 
 def sample_labelled(docs: DataFrame, docs_per_label: int, longest: int) -> list[tuple[str, str]]:
-    """About ``docs_per_label`` texts of each label, the lowest hashes of text and
-    label first; texts above ``longest`` characters are not learned from."""
-    ready = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest)).select("text", "lang")
-    unit = (F.xxhash64("lang", "text") / F.lit(2.0**64)) + 0.5
-    counts = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """The ``docs_per_label`` distinct texts of each label with the lowest hashes of
+    text and label. Of a text above ``longest`` characters, so many from its first
+    letter on are used."""
+    span = F.when(F.length("text") <= longest, F.col("text")).otherwise(F.substring("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(longest)))
+    ready = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").rlike(r"\p{L}")).select(span.alias("text"), "lang")
+    h = F.xxhash64("lang", "text")
+    counts = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}
     if not counts:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == label, F.lit(docs_per_label / n)) for label, n in counts.items()])
-    return [(r["text"], r["lang"]) for r in ready.where(unit < share).distinct().collect()]
+    # Twice as many as wanted, as the counts are estimates; then the lowest exactly.
+    share = F.coalesce(*[F.when(F.col("lang") == label, F.lit(2 * docs_per_label / n)) for label, n in counts.items()])
+    rows = ready.where(h / F.lit(2.0**64) + 0.5 < share).select("lang", h.alias("h"), "text").distinct().collect()
+    taken, out = Counter(), []
+    for lang, _, text in sorted(map(tuple, rows)):
+        taken[lang] += 1
+        if taken[lang] <= docs_per_label:
+            out.append((text, lang))
+    return out
 
 
 def fit(docs: DataFrame, docs_per_label: int = 120, longest: int = 12_000) -> Crf | None:
-    """Fit on a bounded sample of the labelled ``docs`` (text, lang): about
-    ``docs_per_label`` texts of each label, none above ``longest`` characters."""
+    """Fit on a bounded sample of the labelled ``docs`` (text, lang):
+    ``docs_per_label`` texts of each label, cut to ``longest`` characters."""
     return train(sample_labelled(docs, docs_per_label, longest))
 
 
