@@ -302,13 +302,15 @@ def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             kinds = {"h": pa.int64(), "tf": pa.int64(), "n": pa.int64(), "k": pa.int64(), "base": pa.float64(), "model": pa.float64()}
             yield pa.RecordBatch.from_pydict({"key": pa.array(seq, pa.int64()), **{x: pa.array(v, kinds[x]) for x, v in rows.items()}})
 
-    parts = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(run, "key long, h long, tf long, n long, k long, base double, model double")
+    # Rows of one id and text share a key and equal sums, which are divided among them.
+    key = F.xxhash64("doc_id", "text").alias("key")
+    parts = docs.select(key, "text").mapInArrow(run, "key long, h long, tf long, n long, k long, base double, model double")
     parts = cut(parts)
     rare = parts.where(F.col("h").isNotNull()).select("key", "h", "tf").join(scored.select("h", "c", F.col("base").alias("b"), F.col("model").alias("m")), "h")
     rare = rare.select("key", F.col("tf").alias("n"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("k"), (F.col("tf") * F.col("b")).alias("base"), (F.col("tf") * F.col("m")).alias("model"))
-    every = rare.unionByName(parts.where(F.col("h").isNull()).select("key", "n", "k", "base", "model"))
-    sums = every.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("n", "k", "base", "model")])
-    named = docs.select("doc_id", "held_out").join(sums, F.col("doc_id").eqNullSafe(F.col("key")))
+    every = rare.withColumn("rows", F.lit(0)).unionByName(parts.where(F.col("h").isNull()).select("key", "n", "k", "base", "model", F.lit(1).alias("rows")))
+    sums = every.groupBy("key").agg(*[(F.sum(x) / F.sum("rows")).cast(kind).alias(x) for x, kind in (("n", "long"), ("k", "long"), ("base", "double"), ("model", "double"))])
+    named = docs.select("doc_id", "held_out", key).join(sums, "key")
     return named.select(
         "doc_id",
         "held_out",

@@ -1,6 +1,9 @@
 """Operators on tables of copies, long texts and rows that share an id."""
 
-from kerfwork.llm import langid
+import public_tokenizers as P
+from pyspark.sql import functions as F
+
+from kerfwork.llm import langid, latticelm
 
 
 def test_language_sample_of_copies_and_long_texts(spark):
@@ -12,3 +15,12 @@ def test_language_sample_of_copies_and_long_texts(spark):
     assert sum(lang == "en" for _, lang in got) == 120 == len({t for t, lang in got if lang == "en"})
     assert [t for t, lang in got if lang == "yy"] == ["lang " * 8] and "zz" not in {lang for _, lang in got}
     assert langid.fit(docs).labels == ["en", "xx", "yy"]
+
+
+def test_lm_scores_each_row_alone(spark):
+    texts = [(1, "the cat sat"), (1, "the cat sat"), (1, "a dog"), (None, "one"), (None, "two zebras ran"), (2, "the cat sat"), (3, None), (3, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", "text", F.lit(False).alias("held_out"), F.lit(True).alias("learn"))
+    rows = latticelm.score(docs, P.path("piece_bpe_32k.model")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == sorted((str(i), len((t or "").split()) + 1) for i, t in texts)
+    same = [(r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in rows if r.n_tokens == 4 and r.doc_id]
+    assert len(same) == 3 and len(set(same)) == 1
