@@ -48,11 +48,10 @@ def library_encoder(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
-        _LOADED[path] = loaded
+        _LOADED[path] = Tokenizer.from_file(path)
     loaded = _LOADED[path]
 
+    markers = [t.content for t in loaded.get_added_tokens_decoder().values()]
     begins = np.zeros(loaded.get_vocab_size() + 1, bool)
     begins[[i for token, i in loaded.get_vocab().items() if token.startswith("\u0120")]] = True  # a space's byte
 
@@ -63,7 +62,7 @@ def library_encoder(path: str):
     def encode(texts: list[str]) -> list[bytes]:
         """Cuts with a space in front and nowhere else go in strings of JOINED: no
         token spans the space, and each one that begins with it begins a cut."""
-        joint = [i for i, x in enumerate(texts) if len(x) > 1 and x[0] == " " and x.count(" ") == 1 and not x[1].isspace() and not x[-1].isspace()]
+        joint = [i for i, x in enumerate(texts) if len(x) > 1 and x[0] == " " and x.count(" ") == 1 and not x[1].isspace() and not x[-1].isspace() and not any(m in x for m in markers)]
         out: list = [None] * len(texts)
         for at in range(0, len(joint), JOINED):
             some = joint[at : at + JOINED]

@@ -1,9 +1,14 @@
 """Operators on tables of copies, long texts and rows that share an id."""
 
+import random
+import zlib
+
+import numpy as np
 import public_tokenizers as P
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from kerfwork.llm import langid, latticelm
+from kerfwork.llm import langid, latticelm, tokenfile
 
 
 def test_language_sample_of_copies_and_long_texts(spark):
@@ -24,3 +29,16 @@ def test_lm_scores_each_row_alone(spark):
     assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == sorted((str(i), len((t or "").split()) + 1) for i, t in texts)
     same = [(r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in rows if r.n_tokens == 4 and r.doc_id]
     assert len(same) == 3 and len(set(same)) == 1
+
+
+def test_token_files_equal_tokenizer_as_loaded(spark, tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    fresh, rng = Tokenizer.from_file(path), random.Random(3)
+    bits = ["<|endoftext|>", " ", "  ", "\n", "end", "next", "<|endof", "text|>", " a", "é", "\t"]
+    texts = {0: "end <|endoftext|> next"} | {i: "".join(rng.choices(bits, k=rng.randrange(1, 30))) for i in range(1, 400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = tokenfile.read(spark, str(tmp_path), tokenfile.write(docs, path, str(tmp_path))).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array([*fresh.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), texts[r.doc_id]
