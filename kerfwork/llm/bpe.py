@@ -7,8 +7,8 @@ of minimum rank: pair ranks come from a hashed lookup, the row closes its gap
 Pieces above ``LONGEST`` bytes, for which a matrix would need a round a byte over a
 wide row, take the same merges in the same order from a heap.
 
-A text is cut at each single space between non-blank characters, where no token can
-span; the ids of a cut are kept for its next occurrence, up to ``KEPT`` cuts.
+Texts are cut where no token can span and the ids of their distinct pieces are kept
+(see ``pieces``), so a piece is merged once in a while, not at each occurrence.
 
 Edge cases: null text counts as empty and has no ids; the hash of no ids is that of
 the empty string; texts of any length are whole; repeated rows encode alike.
@@ -19,72 +19,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from kerfwork.llm.common import PairTable, map_texts
+from kerfwork.llm.pieces import PieceIds, worker_ids
 
-LONGEST, KEPT = 192, 350_000
+LONGEST = 192
 NONE = 1 << 40
-UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)")
-EVEN_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def cuts(text: str) -> list[str]:
-    """Parts that are encoded on their own; all but the first lack one space in front."""
-    return text.split(" ") if UNEVEN.search(text) is None else EVEN_SPACE.split(text)
-
-
-class CutCache:
-    """Encodes texts by their cuts. ``encode(list of str)`` gives the ids of each as
-    little-endian uint32 bytes. Cuts met lately are kept in two generations: when the
-    younger is full it becomes the older one, from which cuts in use are taken over,
-    so that frequent ones are never encoded again."""
-
-    def __init__(self, encode, kept: int = KEPT):
-        self.encode, self.kept = encode, kept
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, wanted: list[str], lead: str) -> None:
-        """Keys are cuts behind ``lead``: all but first cuts go without their space."""
-        new = []
-        for x in wanted:
-            known = self.old.get(x)
-            if known is None:
-                new.append(x)
-            else:
-                self.young[x] = known
-        if new:
-            self.young.update(zip(new, self.encode([lead + x for x in new]), strict=True))
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.kept:
-            self.old, self.young = self.young, {}
-        parts = [cuts(t) for t in texts]
-        heads = list(dict.fromkeys(p[0] for p in parts))
-        first = dict(zip(heads, self.encode(heads), strict=True))
-        distinct = set()
-        for p in parts:
-            distinct.update(p[1:])
-        self._learn([x for x in distinct if x not in self.young], " ")
-        get = self.young.__getitem__
-        return [first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
-
-
-_CACHES: dict[str, CutCache] = {}
-
-
-def worker_cache(name: str, encode) -> CutCache:
-    """The cache of this Python worker for one vocabulary; it outlives tasks."""
-    if name not in _CACHES:
-        _CACHES[name] = CutCache(encode)
-    return _CACHES[name]
-
-
 class ByteBpe:
     """Ranks as {token bytes: rank}; a rank is the token's id."""
 
@@ -193,11 +139,12 @@ class ByteBpe:
                 out.update(zip(group[at : at + step], self._rows(group[at : at + step]), strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as uint32 bytes, each match of the pattern on its own."""
-        split = [[p.encode() for p in self.pattern.findall(t)] for t in texts]
-        ids = {p: x.tobytes() for p, x in self.pieces([p for s in split for p in s]).items()}
-        return [b"".join([ids[p] for p in s]) for s in split]
+    def encode(self, pieces: list[bytes]) -> tuple[range, np.ndarray, np.ndarray]:
+        """Ids of pieces of text (see ``PieceIds``), each match of the pattern on its own."""
+        split = [[p] if p[p[:1] == b" " :].isalpha() else [m.encode() for m in self.pattern.findall(p.decode())] for p in pieces]
+        ids = self.pieces([p for s in split for p in s])
+        n = np.fromiter((sum(len(ids[p]) for p in s) for s in split), np.int64, len(split))
+        return range(len(split)), np.concatenate([np.zeros(0, np.uint32), *[ids[p] for s in split for p in s]]).astype(np.uint32, copy=False), n
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]
@@ -227,22 +174,23 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> Dat
 
     def make():
         bpe = tokenizer(path, pattern)
-        cache = worker_cache(path, bpe.encode)
+        ids_of = worker_ids(path, lambda: PieceIds(bpe.encode))
         names = [str(i) for i in range(len(bpe.size))]
 
-        def work(texts: list) -> list[list]:
-            n, ids_hash, bytes_hash = [], [], []
-            encoded = cache.texts([t or "" for t in texts])
-            for raw in encoded:
-                ids = np.frombuffer(raw, "<u4")
+        def work(texts: pa.Array) -> list[list]:
+            n, raw, ids_hash, bytes_hash = [], [], [], []
+            flat, bounds = ids_of.texts(texts)
+            for begin, end in pairwise(bounds.tolist()):
+                ids = flat[begin:end]
                 n.append(len(ids))
+                raw.append(ids.astype("<u4", copy=False).tobytes())
                 ids_hash.append(hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
                 bytes_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            return [n, encoded, ids_hash, bytes_hash]
+            return [n, raw, ids_hash, bytes_hash]
 
         return work
 
-    return map_texts(docs, keep, {"n_tokens": "long", "ids": "binary", "ids_sha256": "string", "decoded_sha256": "string"}, make)
+    return map_texts(docs, keep, {"n_tokens": "long", "ids": "binary", "ids_sha256": "string", "decoded_sha256": "string"}, make, arrow=True)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:

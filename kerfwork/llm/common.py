@@ -81,10 +81,21 @@ ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boo
 PIECE_BYTES = 4_000_000
 
 
-def map_texts(docs: DataFrame, keep: list[str], added: dict[str, str], make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PIECE_BYTES`` bytes of the column ``text``."""
+    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = size[at - 1] if at else 0
+        top = max(at + 1, int(np.searchsorted(size, done + PIECE_BYTES, "right")))
+        yield batch.slice(at, top - at)
+        at = top
+
+
+def map_texts(docs: DataFrame, keep: list[str], added: dict[str, str], make: Callable[[], Callable[[list], list[list]]], arrow: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` and the ``added`` ones. ``make()`` runs once a
-    task and returns a function from a list of texts (None for null) to one list for
-    each added column. The kept columns stay Arrow arrays, so nulls and 64-bit ids
+    task and returns a function from a list of texts (None for null; with ``arrow`` an
+    Arrow array) to one list for each added column. The kept columns stay Arrow arrays, so nulls and 64-bit ids
     pass unchanged."""
     small_batches(docs.sparkSession)
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {kind}" for c, kind in added.items()])
@@ -92,17 +103,11 @@ def map_texts(docs: DataFrame, keep: list[str], added: dict[str, str], make: Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(len(keep))
-            size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            at = 0
-            while at < batch.num_rows:
-                done = size[at - 1] if at else 0
-                top = max(at + 1, int(np.searchsorted(size, done + PIECE_BYTES, "right")))
-                part = batch.slice(at, top - at)
-                columns = work(part.column(len(keep)).to_pylist())
+            for part in slices(batch, len(keep)):
+                texts = part.column(len(keep))
+                columns = work(texts if arrow else texts.to_pylist())
                 arrays = [part.column(i) for i in range(len(keep))] + [pa.array(x, ARROW[kind]) for x, kind in zip(columns, added.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *added])
-                at = top
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 

@@ -19,7 +19,6 @@ and are stored as the least integer.
 from __future__ import annotations
 
 import os
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,52 +31,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.bpe import worker_cache
-from kerfwork.llm.common import PIECE_BYTES, shared_dir, small_batches
+from kerfwork.llm.common import shared_dir, slices, small_batches
+from kerfwork.llm.pieces import PieceIds, in_order, worker_ids
 
-_LOADED: dict = {}
 #: Stands for a null id, which sorts first.
 NULL_ID = -(1 << 63)
-#: Cuts the library encodes in one call.
-JOINED = 400
-
-
-def library_encoder(path: str):
-    """``encode`` for CutCache by the tokenizers library; and its vocabulary size."""
-    if path not in _LOADED:
+#: Words the library encodes in one call.
+JOINED = 100
+#: The characters that stand for bytes in a byte-level vocabulary: visible ones of
+#: Latin-1 for themselves, the others for those from 256 on.
+_VISIBLE = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
+STANDS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+#: Up to here, letters are told alike by every version of the character tables.
+LATIN = "\u024f"
+
+
+class LibraryEncoder:
+    """Encodes pieces by the tokenizers library. A piece that is one word, with a space
+    in front or without, is one match of the library's pre-tokenizer, so its characters
+    go to the library's model as they are. Many such words go in one call: behind their
+    own spaces, or with line feeds between them; no token of the vocabulary goes on from
+    a word of Latin letters to either, which is checked. All other pieces go to the whole
+    tokenizer."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
-    loaded = _LOADED[path]
-
-    markers = [t.content for t in loaded.get_added_tokens_decoder().values()]
-    begins = np.zeros(loaded.get_vocab_size() + 1, bool)
-    begins[[i for token, i in loaded.get_vocab().items() if token.startswith("\u0120")]] = True  # a space's byte
-
-    def one_by_one(texts: list[str]) -> list[bytes]:
-        found = [x.ids for x in loaded.encode_batch_fast(texts, add_special_tokens=False)]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        """Cuts with a space in front and nowhere else go in strings of JOINED: no
-        token spans the space, and each one that begins with it begins a cut."""
-        joint = [i for i, x in enumerate(texts) if len(x) > 1 and x[0] == " " and x.count(" ") == 1 and not x[1].isspace() and not x[-1].isspace() and not any(m in x for m in markers)]
-        out: list = [None] * len(texts)
-        for at in range(0, len(joint), JOINED):
-            some = joint[at : at + JOINED]
-            ids = np.array(loaded.encode("".join([texts[i] for i in some]), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(begins[ids])
-            if len(starts) == len(some):
-                raw, edges = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-                for i, a, b in zip(some, edges[:-1], edges[1:], strict=True):
-                    out[i] = raw[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, one_by_one([texts[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
-
-    return encode, loaded.get_vocab_size()
+        self.loaded = Tokenizer.from_file(path)
+        self.model, self.vocabulary = self.loaded.model, self.loaded.get_vocab_size()
+        self.markers = tuple(t.content for t in self.loaded.get_added_tokens_decoder().values())
+        names = self.loaded.get_vocab(with_added_tokens=False)
+        self.space, self.feed = STANDS[0x20], STANDS[0x0A]
+        letters = {STANDS[b] for b in range(256) if bytes([b]).isalpha() or 0x80 <= b <= 0xBF or 0xC3 <= b <= 0xC9}
+        self.begins = np.zeros(self.vocabulary + 1, bool)
+        self.begins[[i for token, i in names.items() if token.startswith(self.space)]] = True
+        self.feed_id = names.get(self.feed, -1)
+        plain = type(self.loaded.pre_tokenizer).__name__ == "ByteLevel" and self.loaded.normalizer is None and self.feed_id >= 0
+
+        def spans(token: str, mark: str) -> bool:
+            """Whether a token goes on from a word to the mark behind it."""
+            return any(c == mark and letters.issuperset(word) for k, c in enumerate(token) if (word := token[:k].lstrip(self.space)))
+
+        self.joins = plain and not any(spans(t, self.space) or spans(t, self.feed) or (self.feed in t[:-1] and t.rpartition(self.feed)[2][:1] in letters) for t in names)
+
+    def word(self, core: bytes) -> str | None:
+        """A word's characters for the model; null if it isn't surely one of letters."""
+        if core.isalpha():
+            return core.decode()
+        text = core.decode()
+        return core.decode("latin-1").translate(STANDS) if text.isalpha() and max(text) <= LATIN else None
+
+    def __call__(self, pieces: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        after_space, bare, rest = ([], []), ([], []), []
+        for i, piece in enumerate(pieces):
+            spaced = piece[0] == 0x20
+            word = self.word(piece[1:] if spaced else piece) if self.joins else None
+            if word is None:
+                rest.append(i)
+            else:
+                kind = after_space if spaced else bare
+                kind[0].append(i)
+                kind[1].append(word)
+        ids, n = [], []
+        for (_, words), between in ((after_space, self.space), (bare, self.feed)):
+            for k in range(0, len(words), JOINED):
+                some = words[k : k + JOINED]
+                made = np.array([t.id for t in self.model.tokenize((between if words is after_space[1] else "") + between.join(some))], np.uint32)
+                edges = np.flatnonzero(self.begins[made] if words is after_space[1] else made == self.feed_id)
+                if words is bare[1]:
+                    made, edges = np.delete(made, edges), np.concatenate([[0], edges - np.arange(len(edges))])
+                if len(edges) != len(some):
+                    raise RuntimeError("a token spans two words")
+                ids.append(made)
+                n.append(np.diff(edges, append=len(made)))
+        _, made, counts = in_order([x.ids for x in self.loaded.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False)])
+        return after_space[0] + bare[0] + rest, np.concatenate([*ids, made]), np.concatenate([*n, counts])
+
+
+def library_ids(path: str) -> PieceIds:
+    """The ids of whole texts by the tokenizers library, with the tokenizer as loaded."""
+
+    def make() -> PieceIds:
+        encoder = LibraryEncoder(path)
+        return PieceIds(encoder, encoder.markers)
+
+    return worker_ids(path, make)
 
 
 def local_path(uri: str) -> str:
@@ -93,38 +132,30 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2) -> list[dict
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, vocabulary = library_encoder(path)
-        cache, kind = worker_cache(path, encode), "<u2" if vocabulary <= 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
+        encoder = library_ids(path)
+        kind = "<u2" if encoder.encode.vocabulary <= 1 << 16 else "<u4"
         part, mark = TaskContext.get().partitionId(), uuid.uuid4().hex
         stem = os.path.join(folder, f"{part:08d}")
-        offsets, ids, total = [0], [], 0
+        offsets, names, total = [np.zeros(1, np.int64)], [], 0
         out = None
         for batch in batches:
             if out is None:
                 os.makedirs(folder, exist_ok=True)
                 out = open(f"{stem}.ids.{mark}", "wb")  # noqa: SIM115
-            ids += batch.column(0).fill_null(NULL_ID).to_pylist()
-            texts, held = [], 0
-            values = [t or "" for t in batch.column(1).to_pylist()]
-            for k, value in enumerate(values, 1):
-                texts.append(value)
-                held += len(value)
-                if k == len(values) or held > PIECE_BYTES:
-                    for raw in cache.texts(texts):
-                        raw += end
-                        total += len(raw) // 4
-                        offsets.append(total)
-                        out.write(raw if kind == "<u4" else np.frombuffer(raw, "<u4").astype(kind).tobytes())
-                    texts, held = [], 0
+            for piece in slices(batch, 1):
+                names.append(piece.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+                ids, bounds = encoder.texts(piece.column(1), end_id)
+                ids.astype(kind, copy=False).tofile(out)
+                offsets.append(bounds[1:] + total)
+                total += len(ids)
         if out is None:
             return
         out.close()
-        np.array(offsets, "<u8").tofile(f"{stem}.off.{mark}")
-        np.array(ids, "<i8").tofile(f"{stem}.doc.{mark}")
+        np.concatenate(offsets).astype("<u8").tofile(f"{stem}.off.{mark}")
+        np.concatenate(names).astype("<i8").tofile(f"{stem}.doc.{mark}")
         for x in ("ids", "off", "doc"):
             os.replace(f"{stem}.{x}.{mark}", f"{stem}.{x}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(ids)], "n_ids": [total], "dtype": [kind]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [sum(map(len, names))], "n_ids": [total], "dtype": [kind]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     counted = ordered.mapInArrow(run, "part long, n_docs long, n_ids long, dtype string").collect()  # a row a partition
