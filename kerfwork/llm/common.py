@@ -21,9 +21,9 @@ from kerfwork.ship import ship
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in one Arrow batch of a Python operator; with whole texts in the rows the
-#: session's default of 10,000 would hold too much memory.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch of a Python operator, the same for all of them, as
+#: plans built earlier run with the setting of the moment.
+BATCH_ROWS, BATCH_BYTES = 2000, 16_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -35,18 +35,21 @@ def crc_bucket(doc_id: Column, buckets: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % buckets
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def small_batches(spark: SparkSession) -> None:
     """To be called by every operator that runs Python on the executors."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where it is unset (tests on one machine) a local one is made."""
+    session. Only a session on one machine may lack it and gets one of its own."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not configured and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="shared-"))
     return configured or context.getCheckpointDir()
 
@@ -70,6 +73,29 @@ def row_order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("h"), F.col("__row").alias("row"))
 
 
+#: A key is hot above so many rows, and above this part of all rows: hot keys are few.
+HOT_ROWS, HOT_PART = 500, 20_000
+
+
+def hot_limit(rows: int) -> int:
+    """Rows above which a key is hot; at most ``HOT_PART`` keys are."""
+    return max(HOT_ROWS, -(-rows // HOT_PART))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, other: str, rows: int, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` (unique in ``other``) on key = other. Rows of ``left``
+    (so many) with a hot key meet its row of ``right`` by a broadcast of at most
+    ``HOT_PART`` rows, all others by a shuffle, so no task gets all rows of a key."""
+    hot = cut(left.groupBy(F.col(key).alias("__key")).count().where(F.col("count") > hot_limit(rows)).select("__key"))
+    if not hot.count():
+        return left.join(right, F.col(key).eqNullSafe(F.col(other)), how)
+    marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    few = right.join(F.broadcast(hot), F.col(other).eqNullSafe(F.col("__key")), "left_semi")
+    by_broadcast = marked.where("__hot").drop("__hot").join(F.broadcast(few), F.col(key).eqNullSafe(F.col(other)), how)
+    by_shuffle = marked.where("__hot IS NULL").drop("__hot").join(right, F.col(key).eqNullSafe(F.col(other)), how)
+    return by_broadcast.unionByName(by_shuffle)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast hint if the counted rows are at most ``limit``; else the plain
     frame, for a shuffled join."""

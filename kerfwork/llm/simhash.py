@@ -13,10 +13,12 @@ XORed with its bit and added by carry-save full adders to bitwise counters; a wo
 abandoned once all its lanes exceed the radius. A bucket gives one edge from each of
 its fingerprints to the least of its component there, so no group is written as pairs.
 A bucket above ``LARGE`` is first split by the same pigeonhole over its other bits,
-which loses no link.
+which loses no link; a hot bucket (see ``common.hot_limit``) already before it is dealt
+to a task.
 
 Components come from alternating hooks to the least neighbour and pointer jumps over
-edges, which are cut by a checkpoint each round.
+edges, which are cut by a checkpoint each round. Hubs of components are hot keys of
+those joins: their rows meet a broadcast of the few hot labels.
 
 Edge cases: null text counts as empty; no words give fingerprint zero, linked like
 any other; fewer words than a shingle make one shingle of them all. Repeated rows have
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import cut, map_texts, numbered, row_order, small_batches
+from kerfwork.llm.common import cut, hot_limit, join_hot, map_texts, numbered, row_order, small_batches
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
 LARGE = 4096
@@ -182,13 +184,25 @@ def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): for fingerprints that link inside some bucket, the least of their
     component there (a, unsigned order) and themselves (b)."""
     spark = distinct.sparkSession
-    small_batches(spark, 20_000)
+    small_batches(spark)
     parts = blocks(radius + 2)
     pairs = list(combinations(range(len(parts)), 2))
     masks = [sum(((1 << w) - 1) << s for s, w in (parts[i], parts[j])) for i, j in pairs]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), "fp")
-    dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key")
+    signed_of = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    keyed = distinct.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"), "fp", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub"))
+    # A hot bucket is dealt by radius + 1 parts of its other bits: two that link are
+    # equal in one of them.
+    rows = distinct.count() * len(pairs)
+    hot = cut(keyed.groupBy("t", "key").count().where(F.col("count") > max(hot_limit(rows), LARGE // 8)).select("t", "key", F.lit(True).alias("hot")))
+    if hot.count():
+        marked = keyed.join(F.broadcast(hot), ["t", "key"], "left")  # HOT_PART rows at most
+        other = [[b for k, (s, w) in enumerate(parts) if k not in pair for b in range(s, s + w)] for pair in pairs]
+        splits = [[signed_of(sum(1 << int(b) for b in some)) for some in np.array_split(bits, radius + 1)] for bits in other]
+        choice = F.array(*[F.array(*some) for some in splits])
+        again = marked.where("hot").select("t", "key", "fp", F.posexplode(F.get(choice, F.col("t"))).alias("part", "mask"))
+        keyed = marked.where("hot IS NULL").select("t", "key", "fp", "part", "sub").unionByName(again.select("t", "key", "fp", "part", F.col("fp").bitwiseAND(F.col("mask")).alias("sub")))
+    dealt = keyed.select("t", "key", "part", "sub", "fp").repartition("t", "key", "part", "sub").sortWithinPartitions("t", "key", "part", "sub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t: int, values: np.ndarray) -> pa.RecordBatch:
@@ -200,16 +214,17 @@ def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
         held_t, held_key, held = None, None, []
         for batch in batches:
-            t, key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            t, key, split, sub, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(t):
                 continue
-            edge = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1
+            edge = np.flatnonzero(sum(np.diff(x) != 0 for x in (t, key, split, sub))) + 1
             bounds = [0, *edge.tolist(), len(t)]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if (t[a], key[a]) != (held_t, held_key):
+                here = (int(t[a]), int(key[a]), int(split[a]), int(sub[a]))
+                if here != held_key:
                     if sum(map(len, held)) > 1:
                         yield found(held_t, np.concatenate(held))
-                    held_t, held_key, held = int(t[a]), int(key[a]), []
+                    held_t, held_key, held = here[0], here, []
                 held.append(fp[a:b])
         if sum(map(len, held)) > 1:
             yield found(held_t, np.concatenate(held))
@@ -223,16 +238,18 @@ def components(links_: DataFrame) -> DataFrame:
     children and jump one step up; degree does not matter, as only minima travel."""
     both = links_.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links_.select(F.col("b").alias("u"), F.col("a").alias("v")))
     both = cut(both)
+    n_edges = both.count()
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    n_nodes = labels.count()
     while True:
-        told = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
+        heard = join_hot(both, labels.select(F.col("node").alias("w"), F.col("root").alias("r")), "v", "w", n_edges)
+        told = heard.groupBy("u").agg(F.min("r").alias("r"))
         hooked = labels.join(told, labels["node"] == told["u"]).select("node", "root", F.least("root", "r").alias("new"))
         # The old root learns the least label of its members, too.
-        roots = hooked.groupBy("root").agg(F.min("new").alias("up")).select(F.col("root").alias("node"), "up")
-        raised = hooked.join(roots, "node", "left").select("node", "root", F.least("new", F.coalesce("up", "new")).alias("new"))
-        top = raised.select(F.col("node").alias("__node"), F.col("new").alias("__new"))
-        jumped = raised.join(top, raised["new"] == top["__node"], "left").select("node", "root", F.least("new", F.coalesce("__new", "new")).alias("new"))
-        jumped = cut(jumped)
+        roots = hooked.groupBy("root").agg(F.min("new").alias("up")).select(F.col("root").alias("head"), "up")
+        raised = cut(hooked.join(roots, hooked["node"] == roots["head"], "left").select("node", "root", F.least("new", F.coalesce("up", "new")).alias("new")))
+        top = raised.select(F.col("node").alias("head"), F.col("new").alias("up"))
+        jumped = cut(join_hot(raised, top, "new", "head", n_nodes, "left").select("node", "root", F.least("new", F.coalesce("up", "new")).alias("new")))
         changed = jumped.where(F.col("root") != F.col("new")).limit(1).count()
         labels = jumped.select("node", F.col("new").alias("root"))
         if not changed:
@@ -243,9 +260,9 @@ def fingerprint_groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(__fp, root, component_id) for the fingerprints of ``marked`` (doc_id, fp)."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(edges(distinct.select("fp"), radius))
-    named = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("linked"))
-    linked = cut(named.join(least, "root").select(F.col("fp").alias("__fp"), "root", "linked"))
+    named = cut(found.join(distinct, found["node"] == distinct["fp"]).select("fp", "root", "first"))
+    least = named.groupBy("root").agg(F.min("first").alias("linked")).withColumnRenamed("root", "head")
+    linked = cut(join_hot(named, least, "root", "head", named.count()).select(F.col("fp").alias("__fp"), "root", "linked"))
     groups = distinct.join(linked, distinct["fp"] == linked["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("root"), F.coalesce("linked", "first").alias("component_id"))
     # Written, so that the last join stands alone and a fingerprint of very many exact
     # copies can be split over tasks.
