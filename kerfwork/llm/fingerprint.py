@@ -10,10 +10,14 @@ more than k shingles.
 Everything is a DataFrame expression, so texts stay in JVM memory and rows are
 independent. Edge cases: null text counts as empty; two empty sketches have likeness
 1, one empty sketch 0; repeated shingles count once; equal texts have equal sketches.
+In the order of documents null ids come first, and rows of one id go by their text.
+Columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,7 +27,8 @@ from kerfwork.llm.common import LOWER, UPPER, broadcast_if_small, cut
 K, WORDS = 128, 5
 #: Code points of text in one bucket of documents in id order.
 BUCKET_CHARS = 2_000_000
-PARTS = 256
+#: Most cuts at quantiles of the ids, in groups of so many.
+CUTS, GROUP = 1 << 14, 128
 
 
 def words(text: Column) -> Column:
@@ -79,24 +84,49 @@ def to_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+def _constant(values: list) -> Column:
+    """An array (of arrays) of longs that is folded to one literal."""
+    return F.from_json(F.lit(json.dumps(values)), "array<array<bigint>>" if values and isinstance(values[0], list) else "array<bigint>")
+
+
 def bucketed(docs: DataFrame, chars: int = BUCKET_CHARS) -> tuple[DataFrame, int]:
-    """``docs`` with __bucket, which ascends with doc_id, and about how many there
-    are: id quantiles cut the table into PARTS, equal id ranges each part."""
-    facts = docs.agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    """``docs`` with __bucket, which ascends with doc_id, and about how many there are.
+    Quantiles of the ids cut the table, CUTS of them at most; where more buckets are
+    wanted, equal id ranges cut each part. Null ids are bucket 0."""
+    facts = docs.agg(F.count("doc_id").alias("n"), F.sum(F.char_length("text")).alias("chars"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     buckets = max(1, min(facts["n"], -(-(facts["chars"] or 0) // chars)))
-    if buckets == 1 or facts["lo"] is None:
-        return docs.withColumn("__bucket", F.lit(0).cast("long")), 1
-    parts = min(buckets, PARTS)
+    parts = min(buckets, CUTS)
     inner = -(-buckets // parts)
+    if facts["lo"] is None or buckets == 1:
+        return docs.withColumn("__bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(1).cast("long")), 1
     points = [i / parts for i in range(1, parts)]
     cuts = docs.agg(F.percentile_approx("doc_id", points, 10 * parts).alias("q")).first()["q"]
     lows = sorted({facts["lo"], *cuts})
-    widths = [-(-(b - a) // inner) or 1 for a, b in zip(lows, [*lows[1:], facts["hi"] + 1], strict=True)]
-    table = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
-    part = F.size(F.filter(table(lows), lambda c: c <= F.coalesce(F.col("doc_id"), F.lit(lows[0])))) - 1
-    dealt = docs.withColumn("__part", F.greatest(part, F.lit(0)))
-    sub = F.floor((F.coalesce("doc_id", F.lit(lows[0])) - F.get(table(lows), F.col("__part"))) / F.get(table(widths), F.col("__part")))
-    return dealt.withColumn("__bucket", F.col("__part").cast("long") * (inner + 1) + sub).drop("__part"), buckets
+    groups = [lows[i : i + GROUP] for i in range(0, len(lows), GROUP)]
+    doc_id = F.col("doc_id")
+    below = lambda xs: F.size(F.filter(xs, lambda c: c <= doc_id)) - 1
+    dealt = docs.withColumn("__group", below(_constant([g[0] for g in groups])))
+    dealt = dealt.withColumn("__part", F.col("__group") * GROUP + below(F.get(_constant(groups), F.col("__group"))))
+    sub = F.lit(0)
+    if inner > 1:
+        at = lambda xs, i: F.get(F.get(_constant([xs[k : k + GROUP] for k in range(0, len(xs), GROUP)]), F.floor(i / GROUP).cast("int")), i % GROUP)
+        widths = [-(-(b - a) // inner) or 1 for a, b in zip(lows, [*lows[1:], facts["hi"] + 1], strict=True)]
+        sub = F.floor((doc_id - at(lows, F.col("__part"))) / at(widths, F.col("__part")))
+    bucket = 1 + F.col("__part").cast("long") * inner + sub
+    return dealt.withColumn("__bucket", F.when(doc_id.isNull(), F.lit(0).cast("long")).otherwise(bucket)).drop("__group", "__part"), buckets
+
+
+def after_each(heads: DataFrame, at: str, low: str, span: int = 4096) -> DataFrame:
+    """``heads`` (at, low) with __after, the ``low`` of the row with the next higher
+    ``at``; after the last comes the first. Rows are dealt in spans of ``at``, so only
+    the first row of each span goes through one task."""
+    dealt = heads.withColumn("__span", F.floor(F.col(at) / span))
+    inside = F.lead(low).over(W.partitionBy("__span").orderBy(at))
+    spans = dealt.groupBy("__span").agg(F.min_by(low, at).alias("__first"))
+    order = W.orderBy("__span")
+    ring = spans.select(F.col("__span").alias("__of"), F.coalesce(F.lead("__first").over(order), F.first("__first").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("__then"))
+    led = dealt.withColumn("__inside", inside).join(ring, F.col("__span") == F.col("__of"))
+    return led.withColumn("__after", F.coalesce("__inside", "__then")).drop("__span", "__of", "__inside", "__then")
 
 
 def with_next(docs: DataFrame, sketch_k: int = K) -> DataFrame:
@@ -104,18 +134,15 @@ def with_next(docs: DataFrame, sketch_k: int = K) -> DataFrame:
     sketch of the document with the next higher doc_id; after the last comes the
     first. A window looks ahead inside each bucket; the first document of the next
     bucket is joined to a bucket's last."""
+    docs = docs.select("doc_id", "text")
     dealt, buckets = bucketed(docs)
     heads = dealt.groupBy("__bucket").agg(F.min(F.struct("doc_id")).alias("__low"))
-    order = W.orderBy("__bucket")  # one small row a bucket
-    after = F.coalesce(F.lead("__low").over(order), F.first("__low").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    ring = cut(heads.select("__bucket", after.alias("__low")))
-    wanted = ring.select("__bucket", F.col("__low.doc_id").alias("__id"))
-    texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(broadcast_if_small(wanted.select("__id").distinct(), buckets, 200_000), "__id", "left_semi")
-    firsts = with_sketch(texts.groupBy("__id").agg(F.min("__text").alias("__text")), "__text", "__sketch", sketch_k)
-    firsts = wanted.join(firsts, "__id", "left").select("__bucket", F.struct(F.col("__text").alias("text"), F.col("__sketch").alias("sketch")).alias("__after"))
-    held = F.struct("text", "sketch")
+    wanted = cut(after_each(heads, "__bucket", "__low").select("__bucket", F.col("__after.doc_id").alias("__id")))
+    texts = docs.select(F.col("doc_id").alias("__own"), "text").join(broadcast_if_small(wanted.select("__id").distinct(), buckets, 200_000), F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
+    firsts = with_sketch(texts.groupBy("__own").agg(F.min(F.struct("text")).alias("__text")).select("__own", "__text.text"), "text", "sketch", sketch_k)
+    firsts = wanted.join(firsts, F.col("__id").eqNullSafe(F.col("__own")), "left").select("__bucket", F.struct("text", "sketch").alias("__after"))
     sketched = with_sketch(dealt, "text", "sketch", sketch_k)
-    inside = sketched.withColumn("__next", F.lead(held).over(W.partitionBy("__bucket").orderBy("doc_id", "text")))
+    inside = sketched.withColumn("__next", F.lead(F.struct("text", "sketch")).over(W.partitionBy("__bucket").orderBy("doc_id", "text")))
     joined = inside.join(firsts, "__bucket", "left")
     return joined.withColumn("__next", F.coalesce("__next", "__after")).drop("__bucket", "__after")
 
@@ -127,6 +154,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("__next.text", F.lit(1), half))
     pairs = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", F.col("__next.sketch").alias("next_sketch"))
     both = with_sketch(pairs, "edited", "edited_sketch")
+    sketch, edited_sketch = F.col("sketch"), F.col("edited_sketch")
     return both.select(
         "doc_id",
         "n_chars",
@@ -134,5 +162,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         to_text(F.col("sketch")).alias("fingerprint"),
         to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        resemblance(sketch, F.col("next_sketch")).alias("near_next"),
+        distinct_shingles(sketch).alias("shingles"),
+        containment(edited_sketch, sketch).alias("edited_in_text"),
     )
