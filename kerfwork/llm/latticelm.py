@@ -1,27 +1,34 @@
 """Language-model scoring by the likelihood of a subword lattice.
 
-The pieces of an existing vocabulary have unigram scores, and so have the words known
-from the training documents. Every way to spell a word as known pieces (one of them
-maybe the whole word) is a path of its lattice; the forward recursion adds all paths in
-log space. A text's probability is the product over its words and of the end.
+The pieces of an existing vocabulary have unigram scores. Every way to spell a word as
+pieces is a path of its lattice; the forward recursion adds all paths in log space.
+Words known from the training documents are edges over the whole word, too:
 
-    P(word) = w * P(known word) + (1 - w) * sum over spellings of the product of pieces
+    P(word) = max(c - D, 0) / N + freed / N * sum over spellings of the product of pieces
 
-Known words have absolutely discounted relative frequencies, and the freed mass w's
-complement goes to spelling. Piece scores start from the vocabulary's own order (its
-file keeps ranks, read as a Zipf law) and are re-estimated by one pass of expected
-piece counts over all training words. Bytes without a piece of their own fall back on
-byte pieces, so every word has a spelling; the first piece of a word carries the word
-mark, thus spellings end at the next mark.
+c is the word's count, N the training tokens (ends of documents are tokens), D the
+discount, and freed what discounting takes from all known words; the end of a text has
+(documents - D) / N. A text's probability is the product over its words and its end, so
+the probabilities of all texts add up to 1: pieces and byte fallback share mass 1, the
+first piece of a word carries the word mark, and a spelling ends at the next mark. Column
+``spelled_score`` is the lattice of the vocabulary alone, without known words.
+
+The public vocabulary's file is of kind BPE: its scores are minus the ranks, which are no
+probabilities. They are read as a Zipf law, and that is the prior of ``PRIOR`` pseudo
+pieces for one pass of expected piece counts over the training data of the spelling
+part, which by the formula above is min(c, D) of each known word. Bytes of characters
+without a piece fall back on byte pieces, so every word has a spelling.
 
 Words and their counts are gathered from all training documents and grow with the
 input; they are shuffled by word, never collected. Only the ``COMMON`` most frequent
-words are broadcast (a fixed bound) and scored where the text is; the others are
-joined by word hash after being summed within each document.
+words, by occurrences in all documents, are broadcast (a fixed bound) and scored where
+the text is; the others are joined by word after being summed within each row.
 
 Edge cases: null text is empty: one token, the end. Words of any length are scored
-whole. Repeated rows are scored alike; null ids are not learned from. With no training
-documents at all, counts are 0 and base and model scores stay finite.
+whole; those above ``LONG`` characters are streamed, and give their piece counts in
+blocks of that length. Every row is scored alone, whatever its id; null ids are not
+learned from. With no training documents at all, counts are 0, the end has probability
+1/2 and all scores stay finite. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -29,20 +36,23 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import PairTable, broadcast_if_small, crc_bucket, cut, small_batches
+from kerfwork.llm.common import PairTable, crc_bucket, cut, small_batches
 
 MARK = "▁"
 COMMON = 60_000
 #: Distinct words a counting task holds before it passes them on.
 HELD = 60_000
-DISCOUNT = 0.6
+DISCOUNT, PRIOR = 0.6, 1000.0
+#: Characters of a word above which its lattice is streamed.
+LONG = 20_000
 LN10 = math.log(10)
 PRIME = np.uint64(0x100000001B3)
 
@@ -56,6 +66,7 @@ class Vocabulary:
         self.names = sorted(pieces)
         self.scores = np.array([pieces[p] for p in self.names] + [-np.inf])
         self.byte_score = byte_score
+        self.longest = max(map(len, self.names), default=1)
         prefixes = {p[:i] for p in self.names for i in range(1, len(p) + 1)}
         keys, values = [], []
         place = {p: i for i, p in enumerate(self.names)}
@@ -72,12 +83,12 @@ class Vocabulary:
         return h
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-        """The words' lattice: score (width, words) of each character in bytes, their
-        lengths, and the edges of pieces (row, begin, size, piece). Position 0 is
-        before MARK; characters past a word's end only fill the matrix."""
-        n = np.array([len(w) + 1 for w in words])
+        """The lattice of words (with MARK): score (width, words) of each character in
+        bytes, their lengths, and the edges of pieces (row, begin, size, piece).
+        Position 0 is before MARK; characters past a word's end only fill the matrix."""
+        n = np.array([len(w) for w in words])
         width = int(n.max())
-        text = "".join((MARK + w).ljust(width, "\0") for w in words)
+        text = "".join(w.ljust(width, "\0") for w in words)
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)
         in_bytes = self.byte_score * (1.0 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)).T
         code = code.astype(np.uint64)
@@ -110,8 +121,18 @@ class Vocabulary:
         """Natural log of each word's summed spellings. ``expect`` gets the expected
         piece counts of the words, each with its weight."""
         out = np.zeros(len(words))
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            short = [i for i, w in enumerate(words) if len(w) <= LONG]
+            out[short] = self.forward([words[i] for i in short], expect, None if weight is None else weight[short])
+            for i in long:
+                out[i] = self.streamed(MARK + words[i])
+                if expect is not None:
+                    parts = [words[i][at : at + LONG] for at in range(0, len(words[i]), LONG)]
+                    self.forward(parts, expect, np.full(len(parts), weight[i]))
+            return out
         for rows in self.groups(words):
-            in_bytes, n, (row, begin, size, piece) = self.edges([words[r] for r in rows])
+            in_bytes, n, (row, begin, size, piece) = self.edges([MARK + words[r] for r in rows])
             width, most = len(in_bytes), int(size.max(initial=1))
             score = self.scores[piece]
             # Edges by their end and size; any character may be spelled in bytes.
@@ -138,6 +159,28 @@ class Vocabulary:
                 expect[-1] += spelled.sum()
         return out
 
+    def streamed(self, text: str) -> float:
+        """The forward recursion over one long word, a block of begins at a time."""
+        most = self.longest
+        ahead = [0.0] + [-math.inf] * most  # of the positions from the block's first on
+        for at in range(0, len(text), LONG):
+            here = min(LONG, len(text) - at)
+            in_bytes, _, (_, begin, size, piece) = self.edges([text[at : at + here + most]])
+            alpha = np.concatenate([ahead, np.full(here, -np.inf)]).tolist()
+            order = np.argsort(begin, kind="stable")
+            edges = list(zip(begin[order].tolist(), size[order].tolist(), self.scores[piece[order]].tolist(), strict=True))
+            k, own = 0, in_bytes[:, 0].tolist()
+            for p in range(here):
+                into = [(1, own[p])]
+                while k < len(edges) and edges[k][0] == p:
+                    into.append(edges[k][1:])
+                    k += 1
+                for step, score in into:
+                    a, b = alpha[p] + score, alpha[p + step]
+                    alpha[p + step] = max(a, b) + math.log1p(math.exp(-abs(a - b))) if b > -math.inf else a
+            ahead = alpha[here:]
+        return ahead[0]
+
     @staticmethod
     def _log_sum(terms: np.ndarray) -> np.ndarray:
         """Log of the sum of exp over the first axis."""
@@ -179,10 +222,11 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words = [*learned, *(other.keys() - learned.keys())]
-            made = pa.RecordBatch.from_pydict({"word": pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), "c": pa.array([learned.get(w, 0) for w in words], pa.int64())})
+            c = np.fromiter((learned.get(w, 0) for w in words), np.int64, len(words))
+            n = c + np.fromiter((other.get(w, 0) for w in words), np.int64, len(words))
             learned.clear()
             other.clear()
-            return made
+            return pa.RecordBatch.from_pydict({"word": pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), "c": c, "n": n})
 
         for batch in batches:
             for learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -191,12 +235,13 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select("learn", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("learn", "text").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def expected_counts(vocabulary: DataFrame, pieces: Vocabulary) -> np.ndarray:
-    """Expected counts of the pieces over all training words with their counts; one
-    row of that fixed length comes from each task and is summed."""
+    """Expected counts of the pieces in what discounting leaves to spelling, min(c,
+    DISCOUNT) of each known word; one row of that fixed length comes from each task and
+    is summed."""
     shared = vocabulary.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +249,7 @@ def expected_counts(vocabulary: DataFrame, pieces: Vocabulary) -> np.ndarray:
         for batch in batches:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             if words:
-                shared.value.forward(words, expect, np.log1p(c.astype(float)))
+                shared.value.forward(words, expect, np.minimum(c.astype(float), DISCOUNT))
         at = np.flatnonzero(expect)
         yield pa.RecordBatch.from_pydict({"piece": at.astype(np.int64), "x": expect[at]})
 
@@ -214,33 +259,76 @@ def expected_counts(vocabulary: DataFrame, pieces: Vocabulary) -> np.ndarray:
     return out
 
 
-def score_words(vocabulary: DataFrame, pieces: Vocabulary, tokens: int, distinct: int, known_mass: float) -> DataFrame:
-    """(word, c, h, base, model): log10 scores of every word."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(pieces)
+def learned_pieces(first: Vocabulary, expect: np.ndarray) -> Vocabulary:
+    """Scores from expected counts (the last one of bytes) and the prior ``first``; the
+    probabilities of all pieces and bytes add up to 1."""
+    prior = np.append(np.exp(first.scores[:-1]), math.exp(first.byte_score) * 256)
+    p = expect + PRIOR * prior / prior.sum()
+    p = np.log(p / p.sum())
+    return Vocabulary(dict(zip(first.names, p[:-1].tolist(), strict=True)), float(p[-1]) - math.log(256))
+
+
+@dataclass(frozen=True)
+class Model:
+    """What was learned: the pieces, N, the distinct tokens V, documents, freed mass."""
+
+    pieces: Vocabulary
+    tokens: int
+    distinct: int
+    ends: int
+    freed: float
+
+    def base(self, c):
+        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+
+    def whole(self, c):
+        with np.errstate(divide="ignore"):
+            return np.log(np.maximum(c - DISCOUNT, 0) / max(self.tokens, 1))
+
+    @property
+    def spelling(self) -> float:
+        """Log mass of all spelled words."""
+        return math.log(self.freed / self.tokens) if self.tokens else math.log(0.5)
+
+    @property
+    def end(self) -> float:
+        return math.log((self.ends - DISCOUNT) / self.tokens) if self.ends else math.log(0.5)
+
+    @property
+    def end_alone(self) -> float:
+        """Probability of the end where only pieces score."""
+        return min(self.ends / self.tokens, 0.5) if self.ends else 0.5
+
+
+def fit(docs: DataFrame, vocabulary_path: str) -> tuple[DataFrame, Model]:
+    """(words (word, c, n), model) of ``docs`` (text, learn)."""
+    counted = cut(count_words(docs))
+    facts = counted.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    ends = docs.where("learn").count()
+    first = Vocabulary(existing_pieces(vocabulary_path), BYTE_SCORE)
+    learned = learned_pieces(first, expected_counts(counted, first))
+    return counted, Model(learned, facts["n"] + ends, facts["v"] + bool(ends), ends, DISCOUNT * (facts["v"] + bool(ends)))
+
+
+def score_words(vocabulary: DataFrame, model: Model) -> DataFrame:
+    """(word, c, n, base, model, spelled): log10 scores of every word."""
+    shared = vocabulary.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            spelled = shared.value.forward(words) + math.log(1 - known_mass) if words else np.zeros(0)
-            with np.errstate(divide="ignore"):
-                whole = np.log(np.maximum(c - DISCOUNT, 0) / max(tokens, 1))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "word": batch.column(0),
-                    "c": batch.column(1),
-                    "h": pa.array([xxhash.xxh64_intdigest(w, 42) - (1 << 63) for w in words], pa.int64()),
-                    "base": np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))),
-                    "model": np.logaddexp(whole, spelled) / LN10,
-                }
-            )
-
-    return vocabulary.select("word", "c").mapInArrow(run, "word string, c long, h long, base double, model double")
+            c = batch.column(1).to_numpy()
+            spelled = m.pieces.forward(batch.column(0).to_pylist()) if len(c) else np.zeros(0)
+            scores = {"base": m.base(c), "model": np.logaddexp(m.whole(c), m.spelling + spelled) / LN10, "spelled": spelled / LN10 + math.log10(1 - m.end_alone)}
+            yield pa.RecordBatch.from_pydict({**dict(zip(("word", "c", "n"), batch.columns, strict=True)), **scores})
+
+    return vocabulary.select("word", "c", "n").mapInArrow(run, "word string, c long, n long, base double, model double, spelled double")
 
 
 def most_frequent(scored: DataFrame, most: int) -> DataFrame:
-    """The words of the highest count classes (an eighth of a doubling each) that hold
-    at most ``most`` words together. The class table is a few hundred rows."""
-    level = F.floor(8 * F.log2(F.greatest(F.col("c"), F.lit(1))))
+    """The words of the highest classes of occurrences (an eighth of a doubling each)
+    that hold at most ``most`` words together. The class table is a few hundred rows."""
+    level = F.floor(8 * F.log2(F.greatest(F.col("n"), F.lit(1))))
     classes = sorted((r["level"], r["count"]) for r in scored.groupBy(level.alias("level")).count().collect())
     total, least = 0, None
     for value, n in reversed(classes):
@@ -251,74 +339,71 @@ def most_frequent(scored: DataFrame, most: int) -> DataFrame:
     return scored.where(level >= least if least is not None else F.lit(False))
 
 
+SUMS = ("n", "k", "base", "model", "spelled")
+
+
 def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for
-    ``docs`` (doc_id, text, learn)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    spelled_score) for ``docs`` (doc_id, text, held_out, learn)."""
     spark = docs.sparkSession
     small_batches(spark)
-    counted = cut(count_words(docs))
-    facts = counted.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.sum(F.least(F.col("c").cast("double"), F.lit(DISCOUNT))).alias("freed")).first()
-    ends = docs.where("learn").count()
-    tokens, distinct = facts["n"] + ends, facts["v"] + bool(ends)
-    known_mass = 1 - ((facts["freed"] or 0) + DISCOUNT * bool(ends)) / tokens if tokens else 0.0
-    known_mass = min(max(known_mass, 0.0), 1 - 1e-6)
-    first = Vocabulary(existing_pieces(vocabulary_path), BYTE_SCORE)
-    expect = expected_counts(counted, first)
-    spelled = expect.sum() + len(expect)
-    learned = Vocabulary({p: math.log((x + 1e-3 + 1e-3) / spelled) for p, x in zip(first.names, expect, strict=False)}, math.log((expect[-1] + 1) / spelled) + math.log(1 / 256))
-    scored = cut(score_words(counted, learned, tokens, distinct, known_mass))
-    common = {r["word"].encode("utf-8", "surrogatepass"): (r["c"] > 0, r["base"], r["model"]) for r in most_frequent(scored, COMMON).collect()}
+    counted, model = fit(docs, vocabulary_path)
+    scored = cut(score_words(counted, model))
+    common = {r["word"].encode("utf-8", "surrogatepass"): (r["c"] > 0, r["base"], r["model"], r["spelled"]) for r in most_frequent(scored, COMMON).collect()}
     shared = spark.sparkContext.broadcast(common)  # COMMON entries at most
-    end_base = math.log10((ends + 0.5) / (tokens + 0.5 * (distinct + 1)))
-    end_model = math.log10(max(ends - DISCOUNT, 0.5) / max(tokens, 1))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = dict(zip(SUMS, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        digest = xxhash.xxh64_intdigest
+        """For each row (own): its id and the sums of its common words; one more line
+        for each of its other words, with how often it has it. Rows are numbered."""
+        known, key = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            seq, rows = [], {k: [] for k in ("h", "tf", "n", "k", "base", "model")}
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
+            keys, words, tfs, place, own = [], [], [], [], {x: [] for x in SUMS}
+            for text in batch.column(2).to_pylist():
                 n = k = 0
-                base = model = 0.0
-                for w, tf in Counter(words).items():
+                base = whole = spelled = 0.0
+                for w, tf in Counter(words_of(text)).items():
                     hit = known.get(w)
                     if hit is None:
-                        seq.append(key)
-                        rows["h"].append(digest(w, 42) - (1 << 63))
-                        rows["tf"].append(tf)
-                        for x in ("n", "k"):
-                            rows[x].append(0)
-                        for x in ("base", "model"):
-                            rows[x].append(0.0)
+                        keys.append(key)
+                        words.append(w.decode("utf-8", "replace"))
+                        tfs.append(tf)
                     else:
                         n += tf
                         k += tf * hit[0]
                         base += tf * hit[1]
-                        model += tf * hit[2]
-                seq.append(key)
-                for x, v in (("h", None), ("tf", 0), ("n", n), ("k", k), ("base", base), ("model", model)):
-                    rows[x].append(v)
-            kinds = {"h": pa.int64(), "tf": pa.int64(), "n": pa.int64(), "k": pa.int64(), "base": pa.float64(), "model": pa.float64()}
-            yield pa.RecordBatch.from_pydict({"key": pa.array(seq, pa.int64()), **{x: pa.array(v, kinds[x]) for x, v in rows.items()}})
-
-    # Rows of one id and text share a key and equal sums, which are divided among them.
-    key = F.xxhash64("doc_id", "text").alias("key")
-    parts = docs.select(key, "text").mapInArrow(run, "key long, h long, tf long, n long, k long, base double, model double")
-    parts = cut(parts)
-    rare = parts.where(F.col("h").isNotNull()).select("key", "h", "tf").join(scored.select("h", "c", F.col("base").alias("b"), F.col("model").alias("m")), "h")
-    rare = rare.select("key", F.col("tf").alias("n"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("k"), (F.col("tf") * F.col("b")).alias("base"), (F.col("tf") * F.col("m")).alias("model"))
-    every = rare.withColumn("rows", F.lit(0)).unionByName(parts.where(F.col("h").isNull()).select("key", "n", "k", "base", "model", F.lit(1).alias("rows")))
-    sums = every.groupBy("key").agg(*[(F.sum(x) / F.sum("rows")).cast(kind).alias(x) for x, kind in (("n", "long"), ("k", "long"), ("base", "double"), ("model", "double"))])
-    named = docs.select("doc_id", "held_out", key).join(sums, "key")
-    return named.select(
-        "doc_id",
-        "held_out",
+                        whole += tf * hit[2]
+                        spelled += tf * hit[3]
+                place.append(len(keys))
+                keys.append(key)
+                words.append(None)
+                tfs.append(0)
+                for x, v in zip(SUMS, (n, k, base, whole, spelled), strict=True):
+                    own[x].append(v)
+                key += 1
+            at = np.full(len(keys), -1)
+            at[place] = np.arange(len(place))
+            facts = pa.StructArray.from_arrays([batch.column(0), batch.column(1), *[pa.array(own[x], kinds[x]) for x in SUMS]], ["doc_id", "held_out", *SUMS])
+            facts = facts.take(pa.array(at, mask=at < 0))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string()), pa.array(tfs, pa.int64()), facts], ["key", "word", "tf", "own"])
+
+    made = f"key long, word string, tf long, own struct<doc_id: {kind}, held_out: boolean, n: long, k: long, base: double, model: double, spelled: double>"
+    parts = cut(docs.select("doc_id", "held_out", "text").mapInArrow(run, made))
+    tf = F.col("tf")
+    rare = parts.where(F.col("word").isNotNull()).select("key", "word", "tf").join(scored.select("word", "c", "base", "model", "spelled"), "word")
+    rare = rare.select("key", tf.alias("n"), F.when(F.col("c") > 0, tf).otherwise(0).alias("k"), *[(tf * F.col(x)).alias(x) for x in SUMS[2:]])
+    own = parts.where(F.col("own").isNotNull()).select("key", F.col("own").alias("o"), *[F.col(f"own.{x}").alias(x) for x in SUMS])
+    sums = own.unionByName(rare.withColumn("o", F.lit(None).cast(own.schema["o"].dataType))).groupBy("key").agg(F.max(F.struct("o.doc_id", "o.held_out")).alias("o"), *[F.sum(x).alias(x) for x in SUMS])
+    return sums.select(
+        "o.doc_id",
+        "o.held_out",
         (F.col("n") + 1).alias("n_tokens"),
-        (F.col("k") + int(ends > 0)).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + end_base).alias("base_score"),
-        (F.col("model") + end_model).alias("score"),
+        (F.col("k") + int(model.ends > 0)).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + float(model.base(model.ends))).alias("base_score"),
+        (F.col("model") + model.end / LN10).alias("score"),
+        (F.col("spelled") + math.log10(model.end_alone)).alias("spelled_score"),
     )
 
 
