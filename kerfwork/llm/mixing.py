@@ -11,42 +11,65 @@ that probability under each seed, and reruns agree.
 
 Edge cases: null text has size 0; documents of size 0 are copied like the others of
 their source but take no words; a source without words has target 0; null ids share one draw; repeated
-rows are drawn alike. An empty table gives an empty one.
+rows are drawn alike. An empty table gives an empty one. Other columns pass unchanged.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import WORD, broadcast_if_small, cut
+from kerfwork.llm.common import WORD, cut, join_hot
 
 WEIGHTS, CAP, SEEDS = (5, 2, 1), 3, 16
 #: Sources up to this number are broadcast.
 SMALL = 20_000
 
 
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size)."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+
+
+def ranked(per: DataFrame) -> DataFrame:
+    """``per`` (source, ...) with ord, from 1 on by code point, null last: sources are
+    range-partitioned and sorted, and a partition's numbers begin after all before it."""
+    parts = cut(per.withColumn("blank", F.col("source").isNull()).repartitionByRange("blank", "source").sortWithinPartitions("blank", "source").withColumn("part", F.spark_partition_id()))
+    sizes_ = sorted((r["part"], r["count"]) for r in parts.groupBy("part").count().collect())  # a row a partition
+    begin, done = [], 0
+    for part, n in sizes_:
+        begin.append((part, done))
+        done += n
+    before = parts.sparkSession.createDataFrame(begin, "part int, before long")
+    own = F.row_number().over(W.partitionBy("part").orderBy("blank", "source"))
+    return parts.join(F.broadcast(before), "part").withColumn("ord", F.col("before") + own).drop("part", "blank", "before")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target): water-filling in closed form. In ascending
-    order of cap / weight, the first source not above the level that the capped ones
-    before it leave sets the level for itself and all after it."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weighed = per.withColumn("ord", rank).withColumn("w", F.get(F.array(*map(F.lit, weights)), (F.col("ord") - 1) % len(weights)).cast("long"))
-    order = W.orderBy(F.col("source_size") / F.col("w"), "ord")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    levels = weighed.withColumn("left", left).withColumn("w_left", F.sum("w").over(after)).withColumn("place", F.row_number().over(order))
-    free = cap * F.col("source_size") * F.col("w_left") >= F.col("left") * F.col("w")
-    level = F.min_by(F.when(free, F.col("left").cast("double") / F.col("w_left")), F.when(free, F.col("place"))).over(everything)
-    return levels.select("source", "source_size", F.least((cap * F.col("source_size")).cast("double"), level * F.col("w")).alias("target"))
+    """(source, source_size, target): water-filling. The level that the sources not
+    capped share goes up as others turn out to be capped, until no more do; each round
+    is one sum over all sources."""
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    weighed = cut(ranked(per).withColumn("w", F.get(F.array(*map(F.lit, weights)), (F.col("ord") - 1) % len(weights)).cast("long")))
+    most, size, w = cap * F.col("source_size"), F.col("source_size"), F.col("w")
+    left, shares, done = weighed.agg(F.sum(size).alias("s"), F.sum(w).alias("w"), F.count("*").alias("n")).select(F.coalesce("s", F.lit(0)), F.coalesce("w", F.lit(0)), F.lit(-1)).first()
+    total = left
+    while shares:
+        # A source is capped if most < w * left / shares; compared in whole numbers.
+        capped = most.cast("decimal(38,0)") * shares < w.cast("decimal(38,0)") * left
+        held, free, n = weighed.agg(F.coalesce(F.sum(F.when(capped, most)), F.lit(0)), F.coalesce(F.sum(F.when(~capped, w)), F.lit(0)), F.count(F.when(capped, 1))).first()
+        if n == done:
+            break
+        left, shares, done = total - held, free, n
+    level = left / shares if shares else 0.0
+    return weighed.select("source", "source_size", "n_docs", F.least(most.cast("double"), F.lit(level) * w).alias("target"))
 
 
 def draws(doc_id: Column) -> Column:
@@ -58,32 +81,61 @@ def draws(doc_id: Column) -> Column:
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every document."""
     sized = cut(sizes(docs))
+    return copied(sized, rates(sized, weights, cap)).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+@dataclass(frozen=True)
+class Rates:
+    """of (the source), source_size, target, whole, bar, seed; numbers of sources and
+    of documents."""
+
+    table: DataFrame
+    sources: int
+    rows: int
+
+    def joined(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """By source: all of them are broadcast if few, else those of many rows."""
+        if self.sources <= SMALL:
+            return left.join(F.broadcast(right), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        return join_hot(left, right, "source", "of", self.rows).drop("of")
+
+
+def hit(i: Column) -> Column:
+    return (F.get("u", i).cast("double") < F.col("bar")).cast("long")
+
+
+def rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> Rates:
+    """The plan of every source of ``sized`` (doc_id, source, size)."""
     by_source = cut(targets(sized, weights, cap))
-    small = by_source.count()
-    rates = by_source.select(F.col("source").alias("__source"), "source_size", "target").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rates = rates.withColumn("whole", F.floor("rate")).withColumn("bar", (F.col("rate") - F.col("whole")) * 2.0**32)
-    rated = sized.join(broadcast_if_small(rates, small, SMALL), F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("u", draws(F.col("doc_id")))
-    hit = lambda i: F.get("u", i).cast("double") < F.col("bar")
-    sums = [F.sum(F.col("size") * (F.col("whole") + hit(F.lit(i)).cast("long"))) for i in range(SEEDS)]
-    tried = rated.groupBy("source").agg(F.array(*sums).alias("sums"), F.first("target").alias("t"))
+    sources, rows = by_source.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    rate = by_source.select(F.col("source").alias("of"), "source_size", "target").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    rate = rate.withColumn("whole", F.floor("rate")).withColumn("bar", (F.col("rate") - F.col("whole")) * 2.0**32).drop("rate")
+    rated = Rates(rate, sources, rows)
+    drawn = rated.joined(sized.select("doc_id", "source", "size"), rate).withColumn("u", draws(F.col("doc_id")))
+    tried = drawn.groupBy("source").agg(F.array(*[F.sum(F.col("size") * (F.col("whole") + hit(F.lit(i)))) for i in range(SEEDS)]).alias("sums"), F.first("target").alias("t"))
     misses = tried.withColumn("miss", F.transform("sums", lambda x: F.abs(x - F.col("t"))))
-    best = cut(misses.select(F.col("source").alias("__source"), (F.array_position("miss", F.array_min("miss")) - 1).cast("int").alias("seed")))
-    chosen = rated.join(broadcast_if_small(best, small, SMALL), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    return chosen.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + hit(F.col("seed")).cast("long")).alias("copies"))
+    best = misses.select("source", (F.array_position("miss", F.array_min("miss")) - 1).cast("int").alias("seed"))
+    return replace(rated, table=cut(rate.join(best, F.col("of").eqNullSafe(F.col("source"))).drop("source")))
+
+
+def copied(rows: DataFrame, rated: Rates) -> DataFrame:
+    """``rows`` (doc_id, source, ...) with source_size, target and copies."""
+    drawn = rated.joined(rows, rated.table).withColumn("u", draws(F.col("doc_id")))
+    return drawn.withColumn("copies", F.col("whole") + hit(F.col("seed")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``docs`` with each row emitted as many times as planned for it."""
-    planned = plan(docs, weights, cap).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies").distinct()
-    # One plan row an id and source, so a join multiplies no repeated row.
-    per = planned.groupBy("__id", "__source").agg(F.max("copies").alias("__copies"))
-    joined = docs.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    return joined.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    """``docs`` with each row emitted as many times as planned for it, whatever the
+    names of its other columns."""
+    rated = rates(cut(sizes(docs)), weights, cap)
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    times = copied(rows, rated).where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return times.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    found = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def _sql_draws() -> str:
