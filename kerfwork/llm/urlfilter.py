@@ -2,34 +2,41 @@
 
 A rule is "host/path": it fits its host and all subdomains if the URL's path starts
 with the rule's; the longest one that fits wins. URLs that a rule labels train the
-trees (logistic loss, histogram splits, at most ``TRAIN_URLS`` of them by hash), which
-judge the others from features of the URL: lengths, depth, digit ratio, entropies,
-parameter counts, separators, and how often labelled URLs with its host suffixes and
-its first path segment were blocked.
+trees (logistic loss, histogram splits), which judge the others from features of the
+URL: lengths, depth, digit ratio, entropies, parameter counts, separators, and how often
+labelled URLs with its host suffixes and its first path segment were blocked.
+
+Those rates are counted over all labelled URLs, each once, by a map-side combined sum
+over ``SLOTS`` hash slots and ``FOLDS`` folds of URLs, so what comes to the driver has a
+fixed bound. In training, a URL's rates leave out its own fold. The trees are grown from
+the ``TRAIN_URLS`` distinct labelled URLs with the lowest hashes, or fewer.
 
 Edge cases: a null URL or one without "://" has empty host and path, fits no rule and
 is judged by the trees from its text; with labels of one kind only, or none, the
 verdict is that kind, or allow. Repeated rows get equal results; pages are kept whole.
+Columns other than page_id and url are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import lower_ascii, small_batches
+from kerfwork.llm.common import LOWER, UPPER, cut, lower_ascii, small_batches
 
 #: The rules of the registered query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Bound of the training sample.
-TRAIN_URLS = 20_000
+#: Bounds of the training sample and of the table of rates.
+TRAIN_URLS, SLOTS, FOLDS = 20_000, 1 << 15, 5
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.2
 
 
@@ -42,8 +49,9 @@ def path_of(url: Column) -> Column:
 
 
 def with_rule(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """``pages`` with host, path, rule and label (the rule's verdict or null)."""
-    parts = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    """(page_id, url) of ``pages`` with host, path, rule and label (the rule's verdict
+    or null)."""
+    parts = pages.select("page_id", "url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, label = F.lit(None).cast("string"), F.lit(None).cast("string")
     for text, verdict in sorted(rules, key=lambda r: (len(r[0]), r[0])):  # a longer rule overrides
         host, _, path = text.partition("/")
@@ -57,44 +65,60 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
+LOWER_ASCII = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
+
+
 def pieces(url: str) -> tuple[str, str, str]:
     """(host, path, query) of a URL's text."""
     _, _, rest = url.partition("://")
     ends = [i for i in (rest.find(c) for c in "/?#") if i >= 0]
     host, tail = (rest[: min(ends)], rest[min(ends) :]) if ends else (rest, "")
-    path = tail.partition("#")[0].partition("?")[0]
-    return host.lower(), path, tail.partition("#")[0].partition("?")[2]
+    whole = tail.partition("#")[0]
+    path, _, query = whole.partition("?")
+    return host.translate(LOWER_ASCII), path, query
+
 
+def keys(host: Column, path: Column) -> Column:
+    """The keys of a URL's rates, as in ``Lexical.keys``."""
+    first = F.coalesce(F.get(F.split(path, "/"), F.lit(1)), F.lit(""))
+    return F.array(F.concat(F.lit("top:"), F.substring_index(host, ".", -1)), F.concat(F.lit("second:"), F.substring_index(host, ".", -2)), F.concat(F.lit("first:"), first))
 
-def suffixes(host: str) -> tuple[str, str]:
-    labels = host.split(".")
-    return labels[-1], ".".join(labels[-2:])
+
+def slot(key: str) -> int:
+    return ((xxhash.xxh64_intdigest(key, 42) + (1 << 63)) % (1 << 64) - (1 << 63)) % SLOTS
+
+
+def fold(url: str) -> int:
+    return zlib.crc32(url.encode()) % FOLDS
 
 
 @dataclass
 class Lexical:
-    """Turns URLs into feature rows; holds the suffix statistics of the labelled."""
+    """Turns URLs into feature rows; holds the rates of the labelled: of each slot and
+    fold, URLs and how many of them were blocked."""
 
-    rates: dict[tuple[str, str], float] = field(default_factory=dict)
+    counts: np.ndarray = field(default_factory=lambda: np.zeros((SLOTS, FOLDS, 2)))
     base: float = 0.5
 
-    def learn(self, urls: list[str], blocked: np.ndarray) -> None:
-        self.base = float(blocked.mean())
-        sums: dict[tuple[str, str], list[float]] = {}
-        for url, y in zip(urls, blocked, strict=True):
-            for key in self.keys(url):
-                s = sums.setdefault(key, [0.0, 0.0])
-                s[0] += y
-                s[1] += 1
-        self.rates = {k: (s + 5 * self.base) / (n + 5) for k, (s, n) in sums.items() if n >= 5}
+    def __post_init__(self) -> None:
+        self.total = self.counts.sum(1)
 
     @staticmethod
-    def keys(url: str) -> list[tuple[str, str]]:
+    def keys(url: str) -> list[str]:
         host, path, _ = pieces(url)
-        top, second = suffixes(host)
-        return [("top", top), ("second", second), ("first", path.split("/")[1] if "/" in path else "")]
-
-    def row(self, url: str) -> list[float]:
+        labels = host.split(".")
+        return ["top:" + labels[-1], "second:" + ".".join(labels[-2:]), "first:" + (path.split("/")[1] if "/" in path else "")]
+
+    def rates(self, url: str, apart: int | None = None) -> list[float]:
+        """How often labelled URLs with its keys were blocked, without a fold."""
+        out = []
+        for key in self.keys(url):
+            at = slot(key)
+            n, blocked = self.total[at] - (self.counts[at, apart] if apart is not None else 0)
+            out.append(float((blocked + 5 * self.base) / (n + 5)))
+        return out
+
+    def row(self, url: str, apart: int | None = None) -> list[float]:
         host, path, query = pieces(url)
         n = max(len(url), 1)
         segments = [s for s in path.split("/") if s]
@@ -104,11 +128,11 @@ class Lexical:
             entropy(url), entropy(host), entropy(path), query.count("&") + bool(query), query.count("="),
             url.count("-"), url.count("_"), url.count("%"), path.endswith("/"), "." in (segments[-1] if segments else ""), "#" in url,
             url.startswith("https"), max(map(len, segments), default=0),
-            *[self.rates.get(k, self.base) for k in self.keys(url)],
+            *self.rates(url, apart),
         ]
 
-    def matrix(self, urls: list[str]) -> np.ndarray:
-        return np.array([self.row(u) for u in urls], np.float64).reshape(len(urls), -1)
+    def matrix(self, urls: list[str], training: bool = False) -> np.ndarray:
+        return np.array([self.row(u, fold(u) if training else None) for u in urls], np.float64).reshape(len(urls), -1)
 
 
 @dataclass
@@ -158,13 +182,11 @@ def grow(binned: np.ndarray, edges: list[np.ndarray], gradient: np.ndarray, hess
     return (feature, threshold, value), value[at]
 
 
-def train(urls: list[str], blocked: list[int]) -> Trees:
+def train(urls: list[str], blocked: list[int], lexical: Lexical) -> Trees:
     y = np.array(blocked, np.float64)
-    lexical = Lexical()
     if not len(y) or y.min() == y.max():
         return Trees(lexical, 20.0 if len(y) and y.max() else -20.0, [])
-    lexical.learn(urls, y)
-    x = lexical.matrix(urls)
+    x = lexical.matrix(urls, training=True)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)], axis=1)
     start = math.log(y.mean() / (1 - y.mean()))
@@ -178,17 +200,23 @@ def train(urls: list[str], blocked: list[int]) -> Trees:
 
 
 def fit(labelled: DataFrame, most: int = TRAIN_URLS) -> Trees:
-    """Fit on the labelled URLs (url, label) with the lowest hashes, about ``most``."""
-    ready = labelled.where(F.col("label").isNotNull() & F.col("url").isNotNull()).select("url", "label")
-    n = ready.count()
+    """Fit on labelled URLs (url, host, path, label)."""
+    ready = labelled.where(F.col("label").isNotNull() & F.col("url").isNotNull()).select("url", "host", "path", "label").distinct()
+    ready = cut(ready.withColumn("y", (F.col("label") == "block").cast("int")).withColumn("fold", F.crc32(F.col("url").cast("binary")) % FOLDS))
+    each = ready.select("fold", "y", F.explode(keys(F.col("host"), F.col("path"))).alias("key"))
+    summed = each.groupBy(F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot"), "fold").agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).collect()
+    counts = np.zeros((SLOTS, FOLDS, 2))
+    for r in summed:  # SLOTS * FOLDS rows at most
+        counts[r["slot"], r["fold"]] = r["n"], r["blocked"]
+    n, blocked = ready.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     unit = F.xxhash64("url") / F.lit(2.0**64) + 0.5
-    rows = sorted(tuple(r) for r in ready.where(unit < most / max(n, 1)).collect())
-    return train([u for u, _ in rows], [int(label == "block") for _, label in rows])
+    rows = sorted(tuple(r) for r in ready.where(unit < most / max(n, 1)).select("url", "y").collect())
+    return train([u for u, _ in rows], [y for _, y in rows], Lexical(counts, blocked / n if n else 0.5))
 
 
 def judge(pages: DataFrame, model: Trees) -> DataFrame:
     """``pages`` (page_id, url, host, path, rule, label) with verdict and score."""
-    small_batches(pages.sparkSession, 5000)
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     names = ["page_id", "host", "path", "rule"]
 

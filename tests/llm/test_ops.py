@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kerfwork.llm import bpe, fingerprint, langid, latticelm, linededup, mixing, ogg, registry, simhash, tokenfile, urlfilter
@@ -178,8 +179,6 @@ def test_lattice_equals_enumeration():
 
 
 def test_lm_edges(odd, none):
-    from pyspark.sql import functions as F
-
     path = P.path("piece_bpe_32k.model")
     marked = odd.select("doc_id", "text", F.lit(False).alias("held_out"), F.col("doc_id").isNotNull().alias("learn"))
     rows = latticelm.score(marked, path).collect()
@@ -222,5 +221,33 @@ def test_url_rules_and_trees(spark):
     rows = urlfilter.with_rule(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")).orderBy("page_id").collect()
     assert [r.rule for r in rows] == ["example.org/es/", "org/", None, "example.org/en/1", "com/de/", None, None, None]
     assert (rows[6].host, rows[7].path) == ("", "")
-    model = urlfilter.train([f"http://good{i}.net/a" for i in range(60)] + [f"http://bad.net/{i}{i}{i}{i}?a=1&b={i}" for i in range(60)], [0] * 60 + [1] * 60)
+    assert spark.createDataFrame([(u,) for u in urls], "url string").select(urlfilter.keys(urlfilter.host_of("url"), urlfilter.path_of("url")).alias("k")).collect()[0].k == urlfilter.Lexical.keys(urls[0])
+    labelled = [(f"http://good{i}.net/a", "allow") for i in range(60)] + [(f"http://bad.net/{i}{i}{i}{i}?a=1&b={i}", "block") for i in range(60)]
+    frame = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(labelled * 3)], "page_id long, url string, label string")
+    frame = frame.withColumn("host", urlfilter.host_of(F.col("url"))).withColumn("path", urlfilter.path_of(F.col("url")))
+    model = urlfilter.fit(frame)
+    assert model.lexical.total[urlfilter.slot("second:bad.net")].tolist() == [60, 60] and model.lexical.base == 0.5
     assert model.scores(["http://good77.net/a"])[0] < 0.5 < model.scores(["http://bad.net/7777?a=1&b=7"])[0]
+    assert urlfilter.fit(frame.limit(0)).scores(["x", ""]).tolist() == [model.scores(["x"])[0] * 0 + 1 / (1 + np.exp(20.0))] * 2
+
+
+def test_url_query_on_whole_tables(spark, tmp_path):
+    """host, path, rule by Python; URLs a rule labels in a held-out fifth get its verdict
+    from trees that never saw them."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    ruled = urlfilter.with_rule(pages).collect()
+    for r in ruled:
+        host, path, _ = urlfilter.pieces(r.url or "")
+        fits = [x for x, _ in urlfilter.RULES if (host == x.partition("/")[0] or host.endswith("." + x.partition("/")[0])) and path.startswith("/" + x.partition("/")[2])]
+        assert (r.host, r.path, r.rule) == (host, path, max(fits, key=len, default=None))
+    known = urlfilter.with_rule(pages).where("label is not null")
+    held = F.crc32(F.concat(F.lit("test"), "url").cast("binary")) % 5 == 0
+    model = urlfilter.fit(known.where(~held))
+    rest = known.where(held).select("url", "label").distinct().collect()
+    right = np.mean([(s > 0.5) == (r.label == "block") for r, s in zip(rest, model.scores([r.url for r in rest]), strict=True)])
+    print(f"held-out URLs {len(rest)}, right {right:.3f}, always the more frequent {max(np.mean([r.label == x for r in rest]) for x in ('block', 'allow')):.3f}")
+    assert right > 0.9
+    odd = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "http://b.com/de/1", "y"), (3, "", "z")], "page_id long, url string, host string")
+    got = urlfilter.judge(urlfilter.with_rule(odd), model).collect()
+    assert len(got) == 4 and {(r.page_id, r.host, r.verdict) for r in got if r.page_id is None} == {(None, "b.com", "block")}
+    assert urlfilter.judge(urlfilter.with_rule(odd.limit(0)), model).count() == 0
