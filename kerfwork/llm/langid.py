@@ -11,14 +11,13 @@ Prediction runs forward-backward over every word of the whole text, and a docume
 is given the language with the largest sum of word marginals.
 
 Edge cases: a null text or one without any letter is ``und`` with score 0; so is
-every text if nothing could be learned. Words without a letter are labelled from
+every text if nothing could be learned. Rows with a null id are not learned from. Words without a letter are labelled from
 their neighbours alone and carry no weight in the document's label. Repeated rows
 are labelled alike. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,9 +28,8 @@ from pyspark.sql import functions as F
 
 from kerfwork.llm.common import crc_bucket, map_texts
 
-LETTER = re.compile(r"[^\W\d_]")
-EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-BITS = 17
+#: Weights a label (a power of two), and in all: with very many labels each has fewer.
+BITS, MOST_WEIGHTS = 17, 1 << 24
 #: Least potential or message: denormal numbers would slow arithmetic a hundredfold.
 FLOOR = 1e-15
 #: Words whose features a Python worker keeps.
@@ -41,13 +39,13 @@ KEPT_WORDS = 700_000
 @dataclass
 class Crf:
     labels: list[str]
-    weights: np.ndarray  # (2**BITS, labels)
+    weights: np.ndarray  # (a power of two, labels)
     transitions: np.ndarray  # log potentials, (labels, labels)
     start: np.ndarray
     lexicon: frozenset
 
 
-def _buckets(words: list[str], in_lexicon: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _buckets(words: list[str], in_lexicon: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, feature buckets, present) for groups of words of similar length."""
     length = np.array([len(w) for w in words])
     order = np.argsort(length, kind="stable")
@@ -89,13 +87,13 @@ def _buckets(words: list[str], in_lexicon: np.ndarray) -> Iterator[tuple[np.ndar
             there.append(in_lexicon[rows][:, None])
         ids = np.concatenate(ids, axis=1)
         ids ^= ids >> np.uint64(31)
-        yield rows, (ids & np.uint64((1 << BITS) - 1)).astype(np.int64), np.concatenate(there, axis=1)
+        yield rows, (ids & np.uint64(size - 1)).astype(np.int64), np.concatenate(there, axis=1)
 
 
 def emissions(words: list[str], model: Crf) -> np.ndarray:
     out = np.zeros((len(words), len(model.labels)), np.float32)
     known = np.fromiter((w in model.lexicon for w in words), bool, len(words))
-    for rows, ids, there in _buckets(words, known):
+    for rows, ids, there in _buckets(words, known, len(model.weights)):
         total = np.einsum("rfk,rf->rk", model.weights[ids], there.astype(np.float32))
         out[rows] = total / there.sum(1, keepdims=True)
     return out
@@ -156,8 +154,17 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+def lettered(word: str) -> bool:
+    """Whether a word has a letter (general category L)."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 def bare(word: str) -> str:
-    return EDGES.sub("", word).lower()
+    """A word that has a letter from its first to its last one, in lower case."""
+    if word.isalpha():
+        return word.lower()
+    at = [i for i, c in enumerate(word) if c.isalpha()]
+    return word[at[0] : at[-1] + 1].lower()
 
 
 def train(texts: list[tuple[str, str]], rounds: int = 25, seed: int = 7) -> Crf | None:
@@ -171,7 +178,7 @@ def train(texts: list[tuple[str, str]], rounds: int = 25, seed: int = 7) -> Crf
     for text, label in sorted(texts):
         ids = []
         for word in words_of(text):
-            if LETTER.search(word):
+            if lettered(word):
                 w = bare(word)
                 if w not in index:
                     index[w] = len(words)
@@ -196,14 +203,15 @@ def train(texts: list[tuple[str, str]], rounds: int = 25, seed: int = 7) -> Crf
     times = np.bincount(token, minlength=len(words))
     lexicon = frozenset(w for w, c in zip(words, times, strict=True) if c >= 2)
     known = np.fromiter((w in lexicon for w in words), bool, len(words))
+    size = 1 << min(BITS, (MOST_WEIGHTS // k).bit_length() - 1)
     flat_word, flat_id, flat_share = [], [], []
-    for rows, ids, there in _buckets(words, known):
+    for rows, ids, there in _buckets(words, known, size):
         at, _ = np.nonzero(there)
         flat_word.append(rows[at])
         flat_id.append(ids[there])
         flat_share.append((1.0 / there.sum(1))[at])
     flat_word, flat_id, flat_share = map(np.concatenate, (flat_word, flat_id, flat_share))
-    weights, transitions, start = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros(k)
+    weights, transitions, start = np.zeros((size, k)), np.zeros((k, k)), np.zeros(k)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, transitions, start)]
     inner = np.flatnonzero(~first)
     truth = np.eye(k)[gold]
@@ -216,7 +224,7 @@ def train(texts: list[tuple[str, str]], rounds: int = 25, seed: int = 7) -> Crf
         joint /= joint.sum((1, 2), keepdims=True)
         miss = truth - marginal
         per_word = np.stack([np.bincount(token, miss[:, j], minlength=len(words)) for j in range(k)], axis=1)
-        g_weights = np.stack([np.bincount(flat_id, per_word[flat_word, j] * flat_share, minlength=1 << BITS) for j in range(k)], axis=1)
+        g_weights = np.stack([np.bincount(flat_id, per_word[flat_word, j] * flat_share, minlength=size) for j in range(k)], axis=1)
         gradients = (g_weights - 0.02 * weights, pairs - joint.sum(0) - 0.1 * transitions, miss[first].sum(0) - 0.1 * start)
         for x, g, m, rate in zip((weights, transitions, start), gradients, moments, (0.6, 0.15, 0.15), strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g
@@ -245,7 +253,7 @@ class Labeller:
             for w in set(words):
                 if w in self.place:
                     continue
-                if not LETTER.search(w):
+                if not lettered(w):
                     self.place[w] = 0
                 else:
                     new.setdefault(bare(w), []).append(w)
@@ -311,7 +319,7 @@ def fit(docs: DataFrame, docs_per_label: int = 120, longest: int = 12_000) -> Cr
 
 def predict(docs: DataFrame, model: Crf | None, *keep: str) -> DataFrame:
     """(keep columns, lang_pred, score) for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights a label
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WEIGHTS weights at most
 
     def make():
         labeller = Labeller(shared.value) if shared.value else None
@@ -339,5 +347,5 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held = F.coalesce(crc_bucket(F.col("doc_id")) == 0, F.lit(False))
-    model = fit(docs.where(~held).select("text", "lang"))
+    model = fit(docs.where(crc_bucket(F.col("doc_id")) != 0).select("text", "lang"))
     return predict(docs.select("doc_id", held.alias("held_out"), "text"), model, "doc_id", "held_out")
