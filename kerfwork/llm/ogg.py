@@ -9,20 +9,25 @@ granule positions, by which the streams are merged again.
 The Ogg checksum (polynomial 0x04C11DB7, most significant bit first, no inversion)
 is zlib's crc32 of the bit-reversed bytes, bit-reversed, so it runs in C.
 
-Edge cases: null text counts as empty and its payload is 64 zero bytes; a damaged
-page, a gap in a stream or a packet without its end raises OggError; equal texts have
-equal media. Only doc_id and text are read.
+``with_media`` stores texts in a media column, ``read_media`` reads any media column.
+
+Edge cases: null text counts as empty and its payload is 64 zero bytes; equal texts
+have equal media. In ``read_media`` a damaged page, a gap in a stream or a packet
+without its end costs that row its payload and gives it an error; null media have
+neither. Empty media are no error and have an empty payload. Repeated rows are read
+alike, and only the columns named are read or kept.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kerfwork.llm.common import map_texts
 
@@ -196,26 +201,56 @@ def read(media: bytes) -> tuple[bytes, dict]:
     return b"".join(data for _, _, data in timed), {"streams": len(streams), "pages": len(found), "packets": len(timed), "seconds": end / rate}
 
 
-def features(payload: bytes, facts: dict) -> str:
-    samples = np.frombuffer(payload, np.uint8)
-    shown = {**facts, "mean": f"{samples.mean():.4f}", "peak": int(samples.max()), "crossings": int(np.count_nonzero(np.diff(samples > 127)))}
-    return ";".join(f"{k}={v}" for k, v in shown.items())
-
-
 def padded(text: bytes, unit: int = 64) -> bytes:
     return text.ljust(max(unit, -(-len(text) // unit) * unit), b"\0")
 
 
-def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+def with_media(docs: DataFrame, keep: Sequence[str], media: str = "media") -> DataFrame:
+    """``keep`` columns of ``docs``, the bytes of its text (n_bytes) and the Ogg file
+    that holds them, padded."""
+
+    def one(text: str | None) -> tuple[int, bytes]:
+        raw = (text or "").encode()
+        return len(raw), write(padded(raw))
+
+    return map_texts(docs, list(keep), {"n_bytes": "long", media: "binary"}, lambda: lambda texts: list(map(list, zip(*map(one, texts), strict=True))))
 
-    def one(text: str) -> tuple:
-        raw = text.encode()
-        media = write(padded(raw))
-        payload, facts = read(media)
-        return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, facts)
 
-    def make():
-        return lambda texts: list(map(list, zip(*[one(t or "") for t in texts], strict=True)))
+FACTS = ("streams", "pages", "packets", "seconds")
 
-    return map_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], added, make)
+
+def read_media(df: DataFrame, keep: Sequence[str], media: str = "media") -> DataFrame:
+    """``keep`` columns of ``df``, and of its column ``media``: payload, streams, pages,
+    packets, seconds, mean, peak and crossings of its samples, error."""
+
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 9
+        try:
+            payload, facts = read(data)
+        except (OggError, struct.error, IndexError) as error:
+            return (*(None,) * 8, str(error) or "damaged")
+        samples = np.frombuffer(payload, np.uint8)
+        shown = (float(samples.mean()), int(samples.max()), int(np.count_nonzero(np.diff(samples > 127)))) if len(samples) else (None,) * 3
+        return (payload, *[facts[x] for x in FACTS], *shown, None)
+
+    added = {"payload": "binary", "streams": "long", "pages": "long", "packets": "long", "seconds": "double", "mean": "double", "peak": "long", "crossings": "long", "error": "string"}
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media}`").alias("text"))
+    return map_texts(rows, list(keep), added, lambda: lambda some: list(map(list, zip(*map(one, some), strict=True))))
+
+
+def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = with_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    found = read_media(stored.select("*", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")), ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    named = lambda c: F.concat(F.lit(f"{c}="), F.col(c).cast("string"))
+    feature = F.concat_ws(";", *map(named, FACTS), F.format_string("mean=%.4f", "mean"), named("peak"), named("crossings"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        feature.alias("feature"),
+    )
