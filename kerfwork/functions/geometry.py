@@ -61,3 +61,11 @@ def segment_key(sx: Column, sy: Column, ex: Column, ey: Column) -> Column:
     a = F.struct(rounded(sx).alias("x"), rounded(sy).alias("y"))
     b = F.struct(rounded(ex).alias("x"), rounded(ey).alias("y"))
     return F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
+
+
+def circle_center(suu, svv, suv, su, sv, divide=lambda a, b: a / b):
+    """Offset (a, b) of the least-squares circle's center from the mean of its points, by
+    the normal equations of sums about that mean: of squares, products, and su, sv of
+    each coordinate times the squared distance. For numbers and columns."""
+    det = 2 * (suu * svv - suv * suv)
+    return divide(su * svv - sv * suv, det), divide(sv * suu - su * suv, det)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerfwork.functions import curves, polygons
@@ -23,8 +24,8 @@ from kerfwork.sources.dxf import SEGMENT
 
 RINGS = pa.list_(pa.list_(pa.float64()))
 BOX = ("x0", "y0", "x1", "y1")
-#: Ids of welded contours lie above all others: 4 million rings a cluster.
-WELDED, PER_CLUSTER = 1 << 60, 1 << 22
+#: Ids of welded contours lie above all others.
+WELDED = 1 << 60
 
 
 def points_of(segments: list[tuple], tolerance: float) -> np.ndarray:
@@ -94,50 +95,63 @@ def relations(shapes: DataFrame, grow: float = 0.0) -> DataFrame:
     return rows.mapInArrow(run, f"drawing_id {kind['drawing_id']}, a {kind['a']}, b {kind['b']}, kind string, shared double, distance double")
 
 
+NOTE = ["drawing_id", "code", "handle", "message"]
+
+
+def notes_of(rows: DataFrame, code: str, message=None, handle: str = "handle") -> DataFrame:
+    """Diagnostics (drawing_id, code, handle, message), one for each row."""
+    own = F.col(handle).cast("string") if handle in rows.columns else F.lit(None).cast("string")
+    return rows.select("drawing_id", F.lit(code).alias("code"), own.alias("handle"), (F.lit(None) if message is None else message).cast("string").alias("message"))
+
+
 def repair_notes(shapes: DataFrame) -> DataFrame:
-    lost = F.when(F.col("rings").isNull(), F.lit("POLYGON_UNRECOVERABLE"))
-    return shapes.where("fixed").select("drawing_id", F.explode(F.array_compact(F.array(F.lit("INVALID_POLYGON_FIXED"), lost))).alias("code"))
+    fixed = notes_of(shapes.where("fixed"), "INVALID_POLYGON_FIXED", F.lit("the outline meets itself; its largest part is taken"))
+    return fixed.unionByName(notes_of(shapes.where("fixed AND rings IS NULL"), "POLYGON_UNRECOVERABLE", F.lit("the outline has no area")))
 
 
 def weld(whole: DataFrame, mode: str = "overlapping", tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """(contours, diagnostics) of rows (drawing_id, contour_id, touched, closed,
-    segments). Closed contours that overlap, neither holding the other, are united over
-    any number of steps ("all": every closed one of a drawing), and arcs found again;
-    open, lone and unrecoverable contours stay as they are. "off" changes nothing."""
-    columns = ["drawing_id", "contour_id", "touched", "closed", "segments"]
-    whole = whole.select(columns)
+    segments, and handle if there). Closed contours that overlap, neither holding the
+    other, are united over any number of steps ("all": every closed one of a drawing),
+    and arcs found again; open, lone and unrecoverable contours stay as they are. "off"
+    changes nothing. A united contour's handle is that of all its members."""
+    columns = ["drawing_id", "contour_id", "touched", "closed", "segments", "handle"]
+    whole = (whole if "handle" in whole.columns else whole.withColumn("handle", F.lit(None).cast("string"))).select(columns)
     if mode == "off":
-        return whole, whole.limit(0).select("drawing_id", F.lit("").alias("code"))
+        return whole, notes_of(whole.limit(0), "")
     if mode not in ("overlapping", "all"):
         raise ValueError(f"unknown weld mode: {mode}")
-    shapes = cut(polygons_of(whole.where("closed"), tolerance))
+    handles = whole.select("drawing_id", "contour_id", "handle")
+    shapes = cut(polygons_of(whole.where("closed"), tolerance).join(handles, ["drawing_id", "contour_id"]))
     notes, good = repair_notes(shapes), shapes.where("rings is not null")
     nodes = good.select("drawing_id", F.col("contour_id").alias("pt"))
     if mode == "all":
         rooted = nodes.join(nodes.groupBy("drawing_id").agg(F.min("pt").alias("root")), "drawing_id")
-        inside = cut(relations(shapes).where(F.col("kind").isin("inside", "around")))
-        lost = inside.select("drawing_id", F.when(F.col("kind") == "inside", F.col("a")).otherwise(F.col("b")).alias("lost")).distinct()
-        notes = notes.unionByName(lost.select("drawing_id", F.lit("HOLES_LOST_IN_WELD_ALL").alias("code")))
+        inside = relations(shapes).where(F.col("kind").isin("inside", "around"))
+        lost = inside.select("drawing_id", F.when(F.col("kind") == "inside", F.col("a")).otherwise(F.col("b")).alias("contour_id")).distinct().join(handles, ["drawing_id", "contour_id"])
+        notes = notes.unionByName(notes_of(lost, "HOLES_LOST_IN_WELD_ALL", F.lit("lies in another contour and is filled by welding all")))
     else:
         rooted = components(nodes, relations(shapes).where("kind = 'overlap'").select("drawing_id", "a", "b"))
-    several = rooted.groupBy("drawing_id", "root").agg(F.count("*").alias("n")).where("n > 1")
-    member = cut(rooted.join(several, ["drawing_id", "root"]).select("drawing_id", "root", F.col("pt").alias("contour_id")))
+    members = rooted.withColumn("n", F.count("*").over(W.partitionBy("drawing_id", "root"))).where("n > 1")
+    member = cut(members.select("drawing_id", "root", F.col("pt").alias("contour_id")).join(good.select("drawing_id", "contour_id", "rings", "handle"), ["drawing_id", "contour_id"]))
     drawing = whole.schema["drawing_id"].dataType.simpleString()
 
     def one(table: pa.Table) -> pa.Table:
-        found = polygons.filled([_polygon(r) for r in table.column("rings").to_pylist()])
+        found = polygons.united([_polygon(r) for r in table.column("rings").to_pylist()])
         rings = [curves.arcs_in_ring(r, tolerance) for p in found or [] for r in p]
-        head = {c: pa.array([table.column(c)[0].as_py()] * max(1, len(rings))) for c in ("drawing_id", "root")}
-        return pa.table({**head, "ord": pa.array(range(max(1, len(rings))), pa.int64()), "segments": pa.array([_dicts(r) for r in rings] or [None], pa.list_(pa.struct(SEGMENT)))})
+        handle = "_".join(sorted({h for h in table.column("handle").to_pylist() if h is not None})) or None
+        head = {c: pa.array([table.column(c)[0].as_py()] * max(1, len(rings)), table.schema.field(c).type) for c in ("drawing_id", "root")}
+        return pa.table({**head, "ord": pa.array(range(max(1, len(rings))), pa.int64()), "handle": pa.array([handle] * max(1, len(rings)), pa.string()), "segments": pa.array([_dicts(r) for r in rings] or [None], pa.list_(pa.struct(SEGMENT)))})
 
-    gathered = member.join(good, ["drawing_id", "contour_id"]).select("drawing_id", "root", "rings")
-    united = cut(gathered.groupBy("drawing_id", "root").applyInArrow(one, f"drawing_id {drawing}, root long, ord long, segments {SEGMENTS}"))
+    united = cut(member.select("drawing_id", "root", "rings", "handle").groupBy("drawing_id", "root").applyInArrow(one, f"drawing_id {drawing}, root long, ord long, handle string, segments {SEGMENTS}"))
     made = united.where("segments is not null")
-    done = made.select("drawing_id", "root").distinct()
-    rest = whole.join(member.join(done, ["drawing_id", "root"]), ["drawing_id", "contour_id"], "left_anti")
-    new = made.select("drawing_id", (F.lit(WELDED) + F.col("root") * PER_CLUSTER + F.col("ord")).alias("contour_id"), F.lit(True).alias("touched"), F.lit(True).alias("closed"), "segments")
-    failed = united.where("segments is null").select("drawing_id", F.lit("POLYGON_UNRECOVERABLE").alias("code"))
-    return rest.unionByName(new), notes.unionByName(done.select("drawing_id", F.lit("CONTOURS_WELDED").alias("code"))).unionByName(failed)
+    done = made.groupBy("drawing_id", "root").agg(F.first("handle").alias("handle"), F.count("*").alias("outlines"))
+    gone = member.select("drawing_id", "root", "contour_id").join(done.select("drawing_id", "root"), ["drawing_id", "root"])
+    rest = whole.join(gone.select("drawing_id", "contour_id"), ["drawing_id", "contour_id"], "left_anti")
+    place = F.row_number().over(W.partitionBy("drawing_id").orderBy("root", "ord"))
+    new = made.select("drawing_id", (F.lit(WELDED) + place).alias("contour_id"), F.lit(True).alias("touched"), F.lit(True).alias("closed"), "segments", "handle")
+    notes = notes.unionByName(notes_of(done, "CONTOURS_WELDED", F.format_string("united to %d outlines", "outlines")))
+    return rest.unionByName(new), notes.unionByName(notes_of(united.where("segments is null"), "POLYGON_UNRECOVERABLE", F.lit("overlapping contours could not be united")))
 
 
 def nested(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -166,17 +180,22 @@ def nested(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
 def findings(shapes: DataFrame, tree: DataFrame, pairs: DataFrame, kerf: float, sheet: tuple[float, float], least_hole: float) -> DataFrame:
     """Diagnostics of parts and holes: too large for the sheet, holes too small, equal
     parts, contours of different parts that overlap or are closer than two kerfs."""
-    rows = tree.where("part is not null").join(shapes.drop("rings"), ["drawing_id", "contour_id"])
-    large = (F.col("x1") - F.col("x0") > sheet[0]) | (F.col("y1") - F.col("y0") > sheet[1])
-    small = 2 * F.sqrt(F.col("area") / F.pi()) < least_hole
-    code = F.when((F.col("role") == "exterior") & large, "PART_OVERSIZED").when((F.col("role") == "interior") & small, "HOLE_TOO_SMALL")
-    alone = rows.withColumn("code", code).where("code is not null").select("drawing_id", "code")
-    side = lambda s: tree.where("part is not null").select("drawing_id", F.col("contour_id").alias(s), F.col("part").alias(f"{s}_part"), F.col("role").alias(f"{s}_role"))
+    tree = tree if "handle" in tree.columns else tree.withColumn("handle", F.lit(None).cast("string"))
+    tree = tree.where("part is not null")
+    rows = tree.join(shapes.drop("rings", "handle"), ["drawing_id", "contour_id"])
+    width, height, hole = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), 2 * F.sqrt(F.col("area") / F.pi())
+    large = (F.col("role") == "exterior") & ((width > sheet[0]) | (height > sheet[1]))
+    small = (F.col("role") == "interior") & (hole < least_hole)
+    notes = notes_of(rows.where(large), "PART_OVERSIZED", F.format_string(f"%.1f x %.1f mm on a sheet of {sheet[0]:g} x {sheet[1]:g} mm", width, height))
+    notes = notes.unionByName(notes_of(rows.where(small), "HOLE_TOO_SMALL", F.format_string(f"%.3f mm across, least {least_hole:.3f} mm", hole)))
+    side = lambda s: tree.select("drawing_id", F.col("contour_id").alias(s), F.col("part").alias(f"{s}_part"), F.col("role").alias(f"{s}_role"), F.col("handle").alias(f"{s}_handle"))
     both = pairs.join(side("a"), ["drawing_id", "a"]).join(side("b"), ["drawing_id", "b"]).where("a_part <> b_part")
     close = (F.col("kind") == "apart") & (F.col("distance") > 1e-9) & (F.col("distance") < 2 * kerf)
     twins = (F.col("kind") == "equal") & (F.col("a_role") == "exterior") & (F.col("b_role") == "exterior")
     code = F.when(F.col("kind") == "overlap", "PARTS_OVERLAP").when(twins, "PARTS_DUPLICATE").when(close, "PARTS_TOO_CLOSE")
-    return alone.unionByName(both.withColumn("code", code).where("code is not null").select("drawing_id", "code"))
+    told = F.when(F.col("code") == "PARTS_OVERLAP", F.format_string("%.3f square mm shared", "shared")).when(close, F.format_string(f"%.3f mm apart, least {2 * kerf:g} mm", "distance")).otherwise("of one shape in one place")
+    named = F.concat(F.lit("with contour "), F.coalesce("b_handle", F.lit("?")), F.lit(": "), told)
+    return notes.unionByName(both.withColumn("code", code).where("code is not null").select("drawing_id", "code", F.col("a_handle").alias("handle"), named.alias("message")))
 
 
 def oriented(rows: DataFrame, ccw: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,31 +143,51 @@ def chain(seg: DataFrame) -> DataFrame:
     rooted = pairs.join(found.select("drawing_id", F.col("pt").alias("a"), "root"), ["drawing_id", "a"]).select("drawing_id", "root", "seg_id", "s", "e")
 
     dealt = rooted.repartition("drawing_id", "root").sortWithinPartitions("drawing_id", "root", "seg_id")
-    return dealt.mapInPandas(_walk_groups, f"drawing_id {seg.schema['drawing_id'].dataType.simpleString()}, contour_id long, seg_id long, seg_ord long, reversed boolean")
-
-
-def _walk(rows: list[list[int]]) -> list[tuple]:
-    """Chains of one component's segments [drawing, root, seg_id, start, end]."""
-    at: dict[int, list[int]] = {}
-    for k, (_, _, _, s, e) in enumerate(rows):
-        at.setdefault(s, []).append(k)
-        if e != s:
-            at.setdefault(e, []).append(k)
-    used, out = [False] * len(rows), []
-    for seed, (drawing, _, contour, first, end) in enumerate(rows):
-        if used[seed]:
+    return dealt.mapInPandas(_walk_groups, f"drawing_id {seg.schema['drawing_id'].dataType.simpleString()}, contour_id long, seg_id long, seg_ord long, reversed boolean, ambiguous boolean")
+
+
+class _Node:
+    """The segments that meet at a point, in order, and how many are not yet walked."""
+
+    def __init__(self):
+        self.segments: list[int] = []
+        self.left = self.next = 0
+
+    def add(self, k: int) -> None:
+        self.segments.append(k)
+        self.left += 1
+
+
+def _walk(rows: list[list]) -> list[tuple]:
+    """Chains of one component's segments [drawing, root, seg_id, start, end]. A step is
+    ambiguous if several segments not yet walked meet where it begins."""
+    nodes: dict[int, _Node] = {}
+    for k, (_, _, _, start, end) in enumerate(rows):
+        for node in {start, end}:
+            nodes.setdefault(node, _Node()).add(k)
+    walked, out = [False] * len(rows), []
+
+    def take(k: int, contour: int, order: int, back: bool, ambiguous: bool) -> None:
+        walked[k] = True
+        drawing, _, seg_id, start, end = rows[k]
+        for node in {start, end}:
+            nodes[node].left -= 1
+        out.append((drawing, contour, seg_id, order, back, ambiguous))
+
+    for seed, (_, _, contour, start, end) in enumerate(rows):
+        if walked[seed]:
             continue
-        used[seed], order = True, 0
-        out.append((drawing, contour, contour, 0, False))
-        while end != first:
-            k = next((k for k in at[end] if not used[k]), None)
-            if k is None:
-                break
-            used[k] = True
-            order += 1
+        take(seed, contour, 0, False, False)
+        order, here = 0, nodes[end]
+        while end != start and here.left:
+            while walked[here.segments[here.next]]:
+                here.next += 1
+            k = here.segments[here.next]
             back = rows[k][3] != end
+            order += 1
+            take(k, contour, order, back, here.left > 1)
             end = rows[k][3] if back else rows[k][4]
-            out.append((drawing, contour, rows[k][2], order, back))
+            here = nodes[end]
     return out
 
 
@@ -173,16 +195,13 @@ def _walk_groups(batches):
     """Rows sorted by component stream through; one component is held at a time."""
     import pandas as pd
 
-    held, out = [], []
-    names = ["drawing_id", "contour_id", "seg_id", "seg_ord", "reversed"]
-    for pdf in batches:
-        for row in pdf.to_numpy().tolist():
-            if held and held[-1][:2] != row[:2]:
-                out += _walk(held)
-                held = []
-            held.append(row)
-        if out:
-            yield pd.DataFrame(out, columns=names)
-            out = []
+    names = ["drawing_id", "contour_id", "seg_id", "seg_ord", "reversed", "ambiguous"]
+    rows = (row for pdf in batches for row in pdf.to_numpy().tolist())
+    held: list[tuple] = []
+    for _, component in groupby(rows, key=lambda r: (r[0], r[1])):
+        held += _walk(list(component))
+        if len(held) > 20_000:
+            yield pd.DataFrame(held, columns=names)
+            held = []
     if held:
-        yield pd.DataFrame(_walk(held), columns=names)
+        yield pd.DataFrame(held, columns=names)

@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerfwork.ship import ship
+
+
+#: Pairs of one drawing up to which its components are found in one task.
+WHOLE = 2_000_000
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder; its lineage ends there."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+    """Write ``df`` to the shared checkpoint folder; its lineage ends there. Only a
+    session on one machine may lack the setting and gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="shared-"))
     return df.checkpoint(eager=True)
 
 
@@ -74,20 +86,57 @@ def box_pairs_of_any_size(boxes: DataFrame, grow: float = 0.0) -> DataFrame:
     return met.select("drawing_id", F.least("s_id", "h_id").alias("a"), F.greatest("s_id", "h_id").alias("b"))
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots): of every node of the edges a-b the least one reachable."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        for end in (u, v):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, root[end], low)  # the old root learns of it, too
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
 def components(nodes: DataFrame, pairs: DataFrame, id_: str = "pt") -> DataFrame:
-    """(drawing_id, id, root): the least id reachable over ``pairs`` (drawing_id, a,
-    b). Each round takes the least root among neighbours, then jumps to that root's
-    root, and is checkpointed; depth halves about every round."""
+    """(drawing_id, id, root): the least id reachable over ``pairs`` (drawing_id, a, b).
+    Drawings never meet, so each one's pairs go to one task, if all of them have at most
+    ``WHOLE``; else ``wide_components`` deals them out."""
+    pairs = cut(pairs.select("drawing_id", "a", "b"))
+    most = pairs.groupBy("drawing_id").count().agg(F.max("count")).first()[0]
+    if (most or 0) <= WHOLE:
+        kind = pairs.schema["drawing_id"].dataType.simpleString()
+
+        def one(table: pa.Table) -> pa.Table:
+            node, root = least_reachable(table.column("a").to_numpy(), table.column("b").to_numpy())
+            return pa.table({"drawing_id": pa.array([table.column("drawing_id")[0].as_py()] * len(node), table.schema.field("drawing_id").type), "u": node, "root": root})
+
+        ship(pairs.sparkSession)
+        labels = pairs.groupBy("drawing_id").applyInArrow(one, f"drawing_id {kind}, u long, root long")
+    else:
+        labels = wide_components(pairs)
+    found = labels.withColumnRenamed("u", id_)
+    return nodes.select("drawing_id", id_).join(found, ["drawing_id", id_], "left").select("drawing_id", id_, F.coalesce("root", id_).alias("root"))
+
+
+def wide_components(pairs: DataFrame) -> DataFrame:
+    """(drawing_id, u, root) over pairs of any number: each round takes the least root
+    among neighbours, then jumps to that root's root, and is checkpointed."""
     both = cut(pairs.select("drawing_id", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select("drawing_id", F.col("b").alias("u"), F.col("a").alias("v"))))
     labels = cut(both.groupBy("drawing_id", "u").agg(F.min("v").alias("m")).select("drawing_id", "u", F.least("u", "m").alias("root")))
     while True:
         told = both.join(labels.select("drawing_id", F.col("u").alias("v"), F.col("root").alias("r")), ["drawing_id", "v"]).groupBy("drawing_id", "u").agg(F.min("r").alias("r"))
         lower = labels.join(told, ["drawing_id", "u"]).select("drawing_id", "u", "root", F.least("root", "r").alias("new"))
-        up = lower.select("drawing_id", F.col("u").alias("new"), F.col("new").alias("up"))
-        jumped = cut(lower.join(up, ["drawing_id", "new"], "left").select("drawing_id", "u", "root", F.least("new", F.coalesce("up", "new")).alias("new")))
+        heads = lower.groupBy("drawing_id", "root").agg(F.min("new").alias("low")).withColumnRenamed("root", "u")
+        raised = cut(lower.join(heads, ["drawing_id", "u"], "left").select("drawing_id", "u", "root", F.least("new", F.coalesce("low", "new")).alias("new")))
+        up = raised.select("drawing_id", F.col("u").alias("new"), F.col("new").alias("up"))
+        jumped = cut(raised.join(up, ["drawing_id", "new"], "left").select("drawing_id", "u", "root", F.least("new", F.coalesce("up", "new")).alias("new")))
         changed = jumped.where(F.col("root") != F.col("new")).limit(1).count()
         labels = jumped.select("drawing_id", "u", F.col("new").alias("root"))
         if not changed:
-            break
-    found = labels.withColumnRenamed("u", id_)
-    return nodes.select("drawing_id", id_).join(found, ["drawing_id", id_], "left").select("drawing_id", id_, F.coalesce("root", id_).alias("root"))
+            return labels

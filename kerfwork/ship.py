@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -20,5 +21,7 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parent
     with tempfile.TemporaryDirectory() as build:
         copied = shutil.copytree(package, Path(build, "root", package.name), ignore=shutil.ignore_patterns("__pycache__"))
-        packed = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="kerfwork-"), package.name)), "zip", copied.parent)
+        folder = tempfile.mkdtemp(prefix="kerfwork-")  # served by the driver until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        packed = shutil.make_archive(str(Path(folder, package.name)), "zip", copied.parent)
     context.addPyFile(packed)

@@ -7,20 +7,23 @@ diagnostic for texts and solids, and coordinates are scaled to millimetres last.
 entity that can't be converted costs a diagnostic, not the file.
 
 Rows of ``read``: path, ord (order in the file), code (null for a contour, else a
-diagnostic), handle, layer, closed, flattened (made from a spline or an ellipse),
+diagnostic), message, handle, layer, closed, flattened (made from a spline or an ellipse),
 segments. A file that is no DXF text gives one row of code FILE_UNREADABLE; an empty
 drawing gives none besides the unit's diagnostic.
 
 Writing: ``documents_of`` makes one text a drawing (grouped by drawing, so one drawing
-is held at a time), and ``write`` saves them as files with Spark's commit protocol.
-Written are a header, one layer name and the entities; there are no tables or objects
-sections. Files read back here; no CAD program has been tried on them.
+is held at a time), and ``write`` saves them as files. Written are a header, tables of
+the line type and the layer, and the entities. Files read back here; no CAD program has
+been tried on them. Binary DXF is not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,8 @@ from kerfwork.operators.report import DROPPED, KEPT, UNITS
 from kerfwork.ship import ship
 
 SEGMENT = [("kind", pa.string()), *[(c, pa.float64()) for c in ("sx", "sy", "ex", "ey", "cx", "cy", "radius")], ("ccw", pa.bool_())]
-ROW = pa.schema([("path", pa.string()), ("ord", pa.int64()), ("code", pa.string()), ("handle", pa.string()), ("layer", pa.string()), ("closed", pa.bool_()), ("flattened", pa.bool_()), ("segments", pa.list_(pa.struct(SEGMENT)))])
-DDL = "path string, ord long, code string, handle string, layer string, closed boolean, flattened boolean, segments array<struct<kind:string,sx:double,sy:double,ex:double,ey:double,cx:double,cy:double,radius:double,ccw:boolean>>"
+ROW = pa.schema([("path", pa.string()), ("ord", pa.int64()), ("code", pa.string()), ("message", pa.string()), ("handle", pa.string()), ("layer", pa.string()), ("closed", pa.bool_()), ("flattened", pa.bool_()), ("segments", pa.list_(pa.struct(SEGMENT)))])
+DDL = "path string, ord long, code string, message string, handle string, layer string, closed boolean, flattened boolean, segments array<struct<kind:string,sx:double,sy:double,ex:double,ey:double,cx:double,cy:double,radius:double,ccw:boolean>>"
 DEEPEST = 32
 
 
@@ -136,8 +139,11 @@ def outline(e: Entity, tolerance: float, detect_circle: bool) -> tuple[list[tupl
     if e.kind == "ELLIPSE":
         points = curves.ellipse(e.point(10), e.point(11), e.number(40), e.number(41, 0.0), e.number(42, 2 * math.pi), tolerance)
     else:
-        control = np.column_stack([e.all(10), e.all(20)])
-        points = curves.spline(int(e.first(71, 3)), e.all(40), control, e.all(41), tolerance)
+        degree, control, through = int(e.first(71, 3)), np.column_stack([e.all(10), e.all(20)]), np.column_stack([e.all(11), e.all(21)])
+        if len(control):
+            points = curves.spline(degree, e.all(40), control, e.all(41), tolerance)
+        else:
+            points = curves.spline(*curves.interpolated(through, degree, e.flag(1)), [], tolerance)
     return *curves.from_points(points, tolerance, detect_circle), None
 
 
@@ -177,16 +183,18 @@ def placements(e: Entity, base: tuple[float, float]) -> list[np.ndarray]:
 
 
 def contours(text: str, tolerance: float = 0.02, detect_circle: bool = True, assumed: float = 1.0) -> Iterator[tuple]:
-    """(code, handle, layer, closed, flattened, segments) of a file's text, in order."""
+    """(code, message, handle, layer, closed, flattened, segments) of a file's text, in
+    order."""
     unit, entities, blocks = parse(text)
     scale = UNITS.get(unit, assumed if unit == 0 else 1.0)
     if unit not in UNITS:
-        yield "ASSUMED_UNIT" if unit == 0 else "UNSUPPORTED_INSUNITS", None, None, None, None, None
+        message = f"no unit is given; one unit is taken for {scale:g} mm" if unit == 0 else f"unit code {unit} is not supported; one unit is taken for 1 mm"
+        yield "ASSUMED_UNIT" if unit == 0 else "UNSUPPORTED_INSUNITS", message, None, None, None, None, None
 
     def walk(items: list[Entity], matrix: np.ndarray | None, depth: int) -> Iterator[tuple]:
         for e in items:
             handle, layer = e.first(5), e.first(8, "0")
-            note = lambda code: (code, handle, layer, None, None, None)  # noqa: B023, E731
+            note = lambda code, why="": (code, f"{e.kind} {handle or 'without handle'}{why}", handle, layer, None, None, None)  # noqa: B023, E731
             if e.kind == "POLYLINE" and (e.flag(16) or e.flag(64)):
                 yield note("3D_ENTITY_SKIPPED")
             elif e.kind == "INSERT":
@@ -195,8 +203,8 @@ def contours(text: str, tolerance: float = 0.02, detect_circle: bool = True, ass
                         raise ValueError("blocks hold each other")
                     base, inside = blocks.get(str(e.first(2, "")).upper(), ((0.0, 0.0), []))
                     maps = placements(e, base)
-                except ValueError:
-                    yield note("ENTITY_CONVERSION_FAILED")
+                except ValueError as error:
+                    yield note("ENTITY_CONVERSION_FAILED", f": {error}")
                     continue
                 for own in maps:
                     whole = own if matrix is None else np.column_stack([matrix[:, :2] @ own[:, :2], matrix[:, :2] @ own[:, 2] + matrix[:, 2]])
@@ -207,8 +215,8 @@ def contours(text: str, tolerance: float = 0.02, detect_circle: bool = True, ass
                 try:
                     made, closed, code = outline(e, tolerance, detect_circle)
                     made = made if matrix is None else moved(made, matrix, tolerance)
-                except (ValueError, TypeError, IndexError):
-                    yield note("ENTITY_CONVERSION_FAILED")
+                except (ValueError, TypeError, IndexError) as error:
+                    yield note("ENTITY_CONVERSION_FAILED", f": {error}")
                     continue
                 if code:
                     yield note(code)
@@ -216,11 +224,23 @@ def contours(text: str, tolerance: float = 0.02, detect_circle: bool = True, ass
                     yield note("DEGENERATE_ENTITY_SKIPPED")
                     continue
                 scaled = [(s[0], *[None if x is None else x * scale for x in s[1:8]], s[8]) for s in made]
-                yield None, handle, layer, closed, e.kind in ("SPLINE", "ELLIPSE"), scaled
+                yield None, None, handle, layer, closed, e.kind in ("SPLINE", "ELLIPSE"), scaled
 
     yield from walk(entities, None, 0)
 
 
+def decoded(content: bytes) -> str:
+    """A file's text: UTF-8 if it is, else by the code page its header names."""
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        found = re.search(rb"\$DWGCODEPAGE\s+3\s+ANSI_(\d+)", content[:65536])
+        try:
+            return content.decode(f"cp{found[1].decode()}" if found else "cp1252", "replace")
+        except LookupError:
+            return content.decode("utf-8", "replace")
+
+
 def from_files(files: DataFrame, tolerance: float = 0.02, detect_circle: bool = True, assumed: float = 1.0) -> DataFrame:
     """Contours and diagnostics of ``files`` (path, content); null content is unreadable."""
     ship(files.sparkSession)
@@ -230,9 +250,9 @@ def from_files(files: DataFrame, tolerance: float = 0.02, detect_circle: bool =
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    found = list(contours((content.as_py() or b"").decode("utf-8", "replace"), tolerance, detect_circle, assumed))
-                except (ValueError, IndexError):
-                    found = [("FILE_UNREADABLE", None, None, None, None, None)]
+                    found = list(contours(decoded(content.as_py() or b""), tolerance, detect_circle, assumed))
+                except (ValueError, IndexError) as error:
+                    found = [("FILE_UNREADABLE", str(error), None, None, None, None, None)]
                 rows = [(path, i, *head, None if segments is None else [dict(zip(names, s, strict=True)) for s in segments]) for i, (*head, segments) in enumerate(found)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROW, strict=True)], schema=ROW)
@@ -291,24 +311,74 @@ def file_text(drawing: list[tuple[list[tuple], bool]], layer: str = "CUT") -> st
         if corners:
             x, y = (float(pick(c)) for c in zip(*corners, strict=True))
             head += [(9, name), (10, x), (20, y), (30, 0.0)]
-    return "\n".join([*_tags((0, "SECTION"), (2, "HEADER"), *head, (0, "ENDSEC"), (0, "SECTION"), (2, "ENTITIES")), *body, *_tags((0, "ENDSEC"), (0, "EOF")), ""])
+    tables = [(0, "SECTION"), (2, "TABLES")]
+    for table, record, rest in (("LTYPE", "CONTINUOUS", [(3, "Solid line"), (72, 65), (73, 0), (40, 0.0)]), ("LAYER", layer, [(62, 7), (6, "CONTINUOUS")])):
+        tables += [(0, "TABLE"), (2, table), (70, 1), (0, table), (100, "AcDbSymbolTableRecord"), (2, record), (70, 0), *rest, (0, "ENDTAB")]
+    return "\n".join([*_tags((0, "SECTION"), (2, "HEADER"), *head, (0, "ENDSEC"), *tables, (0, "ENDSEC"), (0, "SECTION"), (2, "ENTITIES")), *body, *_tags((0, "ENDSEC"), (0, "EOF")), ""])
 
 
 def documents_of(drawings: DataFrame, key: str, layer: str = "CUT") -> DataFrame:
-    """(key, value): one DXF text for each drawing of ``drawings`` (key, ord, closed,
-    segments). Contours without segments are left out; diagnostics (null segments) too."""
+    """(key, value, error): one DXF text for each drawing of ``drawings`` (key, ord,
+    closed, segments, and role and part if there: then each outline is followed by its
+    holes). Contours without segments are left out; findings (null segments) too. A
+    drawing with a contour that doesn't join up has no text but an error."""
     ship(drawings.sparkSession)
     kind = drawings.schema[key].dataType.simpleString()
     names = [n for n, _ in SEGMENT]
+    order = [c for c in ("part", "role") if c in drawings.columns]
 
     def one(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["ord", "closed", "segments"]).to_pylist(), key=lambda r: r["ord"])
+        rows = table.select(["ord", "closed", "segments", *order]).to_pylist()
+        if order:
+            rows.sort(key=lambda r: (r["part"] is None, r["part"] or 0, r["role"] or "", r["ord"]))  # exterior, then interior
+        else:
+            rows.sort(key=lambda r: r["ord"])
         parts = [([tuple(s[n] for n in names) for s in r["segments"]], bool(r["closed"])) for r in rows if r["segments"]]
-        return pa.table({key: table.column(key).slice(0, 1), "value": pa.array([file_text(parts, layer)])})
-
-    return drawings.select(key, "ord", "closed", "segments").groupBy(key).applyInArrow(one, f"`{key}` {kind}, value string")
+        value = error = None
+        try:
+            value = file_text(parts, layer)
+        except ValueError as wrong:
+            error = str(wrong)
+        return pa.table({key: table.column(key).slice(0, 1), "value": pa.array([value], pa.string()), "error": pa.array([error], pa.string())})
+
+    return drawings.select(key, "ord", "closed", "segments", *order).groupBy(key).applyInArrow(one, f"`{key}` {kind}, value string, error string")
+
+
+def mounted(uri: str) -> str:
+    """The path of a folder that is mounted on every machine."""
+    parsed = urlparse(uri)
+    if parsed.scheme not in ("", "file"):
+        raise ValueError(f"{uri} must be a mounted folder")
+    return parsed.path
+
+
+def _renamed(spark: SparkSession, parts: str, name_of) -> None:
+    """Moves the part files that Spark has committed under ``parts`` to the names that
+    ``name_of`` gives for their folder, and drops the rest."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(parts)
+    files = top.getFileSystem(conf)
+    found = files.listFiles(top, True)
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().startswith("part-"):
+            target = jvm.org.apache.hadoop.fs.Path(name_of(unquote(path.getParent().getName())))
+            files.delete(target, False)
+            if not files.rename(path, target):
+                raise OSError(f"{target} could not be written")
+    files.delete(top, True)
 
 
 def write(texts: DataFrame, key: str, folder: str) -> None:
-    """One folder a drawing, named key=value, with its text in one file."""
-    texts.write.mode("errorifexists").option("compression", "none").option("lineSep", "\n").partitionBy(key).text(folder)
+    """One file a drawing in ``folder``, named by ``key``. Spark's commit protocol writes
+    them under other names first, so a lost task leaves none half written."""
+    parts = f"{folder}/parts-{uuid.uuid4().hex}"
+    texts.write.option("compression", "none").option("lineSep", "\n").partitionBy(key).text(parts)
+    _renamed(texts.sparkSession, parts, lambda name: f"{folder}/{name.partition('=')[2]}")
+
+
+def write_one(table: DataFrame, path: str) -> None:
+    """``table`` as one CSV file with a header."""
+    parts = f"{path}-{uuid.uuid4().hex}"
+    table.coalesce(1).write.option("header", True).option("emptyValue", "").csv(parts)
+    _renamed(table.sparkSession, parts, lambda _: path)

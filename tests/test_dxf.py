@@ -27,7 +27,7 @@ CIRCLE = tags((0, "CIRCLE"), (5, "B"), (10, 1), (20, 0), (40, 1))
 def test_units_and_dropped_entities():
     found = list(dxf.contours(drawing("\n".join([LINE, tags((0, "TEXT"), (1, "x")), tags((0, "POINT"), (10, 0), (20, 0))]), unit=1)))
     assert [f[0] for f in found] == [None, "TEXT_SKIPPED"]
-    assert found[0][5][0][3] == pytest.approx(50.8)
+    assert found[0][6][0][3] == pytest.approx(50.8)
     assert [f[0] for f in dxf.contours(drawing(LINE, unit=0))] == ["ASSUMED_UNIT", None]
     assert [f[0] for f in dxf.contours(drawing(LINE, unit=3))] == ["UNSUPPORTED_INSUNITS", None]
 
@@ -43,12 +43,12 @@ def test_nested_blocks_are_placed_turned_and_mirrored():
     inner = "\n".join([tags((0, "BLOCK"), (2, "I"), (10, 1), (20, 0)), LINE, tags((0, "ENDBLK"))])
     outer = "\n".join([tags((0, "BLOCK"), (2, "O"), (10, 0), (20, 0)), tags((0, "INSERT"), (2, "i"), (10, 0), (20, 0), (50, 90)), tags((0, "ENDBLK"))])
     found = list(dxf.contours(drawing(tags((0, "INSERT"), (2, "O"), (10, 10), (20, 0), (41, -1)), "\n".join([inner, outer]))))
-    assert np.allclose(found[0][5][0][1:5], (10, -1, 10, 1))
+    assert np.allclose(found[0][6][0][1:5], (10, -1, 10, 1))
     ring = "\n".join([tags((0, "BLOCK"), (2, "C"), (10, 0), (20, 0)), CIRCLE, tags((0, "ENDBLK"))])
     (mirrored,) = dxf.contours(drawing(tags((0, "INSERT"), (2, "C"), (10, 0), (20, 0), (41, -2), (42, 2)), ring))
-    assert mirrored[5][0][5:] == (-2, 0, 2, False)
+    assert mirrored[6][0][5:] == (-2, 0, 2, False)
     (oval,) = dxf.contours(drawing(tags((0, "INSERT"), (2, "C"), (10, 0), (20, 0), (41, 3)), ring))
-    assert {s[0] for s in oval[5]} == {"line"} and curves.area(oval[5]) == pytest.approx(3 * math.pi, rel=0.02)
+    assert {s[0] for s in oval[6]} == {"line"} and curves.area(oval[6]) == pytest.approx(3 * math.pi, rel=0.02)
     self_ = "\n".join([tags((0, "BLOCK"), (2, "S"), (10, 0), (20, 0)), tags((0, "INSERT"), (2, "S"), (10, 0), (20, 0)), tags((0, "ENDBLK"))])
     assert [f[0] for f in dxf.contours(drawing(tags((0, "INSERT"), (2, "S"), (10, 0), (20, 0)), self_))] == ["ENTITY_CONVERSION_FAILED"]
 
@@ -61,10 +61,22 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.path[-5:], r.code or r.segments[0].kind) for r in got.collect()) == [("a.DXF", "arc"), ("a.DXF", "line"), ("b.dxf", "FILE_UNREADABLE")]
     texts = dxf.documents_of(got.where("code is null"), "path")
     text = texts.first()["value"]
-    assert "CIRCLE" in text and [f[5] for f in dxf.contours(text)] == [f[5] for f in dxf.contours(drawing("\n".join([LINE, CIRCLE])))]
-    named = texts.selectExpr("1 AS drawing", "value")
-    dxf.write(named, "drawing", str(tmp_path / "out"))
-    assert [r.code for r in dxf.from_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "out"))).collect()] == [None, None]
+    assert "CIRCLE" in text and [f[6] for f in dxf.contours(text)] == [f[6] for f in dxf.contours(drawing("\n".join([LINE, CIRCLE])))]
+    dxf.write(texts.selectExpr("'a b=%.dxf' AS name", "value"), "name", str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").glob("[!.]*")] == ["a b=%.dxf"]
+    assert [r.code for r in dxf.read(spark, str(tmp_path / "out")).collect()] == [None, None]
+    assert text.count("LTYPE") == 2 and "TABLES" in text
+
+
+def test_code_pages_and_splines_through_points():
+    named = tags((0, "SECTION"), (2, "HEADER"), (9, "$DWGCODEPAGE"), (3, "ANSI_1252"), (0, "ENDSEC"))
+    raw = (named + "\n" + drawing(tags((0, "LINE"), (8, "Größe"), (10, 0), (20, 0), (11, 2), (21, 0)))).encode("cp1252")
+    assert [f[3] for f in dxf.contours(dxf.decoded(raw))] == ["Größe"]
+    t = np.linspace(0, 1.5 * math.pi, 19)
+    spots = [p for a in t for p in ((11, 4 * math.cos(a)), (21, 4 * math.sin(a)))]
+    ((code, _, _, _, closed, flattened, segments),) = dxf.contours(drawing(tags((0, "SPLINE"), (70, 0), (71, 3), *spots)))
+    assert (code, closed, flattened, [s[0] for s in segments]) == (None, False, True, ["arc"]) and segments[0][7] == pytest.approx(4, rel=1e-3)
+    assert [f[0] for f in dxf.contours(drawing(tags((0, "SPLINE"), (70, 0), (71, 3), (11, 1), (21, 1))))] == ["ENTITY_CONVERSION_FAILED"]
 
 
 def test_written_contours_must_join():
@@ -72,7 +84,7 @@ def test_written_contours_must_join():
         dxf.file_text([([curves.line((0, 0), (1, 0)), curves.line((2, 0), (3, 0))], False)])
     full = [curves.arc((1, 0), (1, 0), (0, 0), 1, True)]
     (back,) = dxf.contours(dxf.file_text([(full, True)]))
-    assert curves.area(back[5]) == pytest.approx(math.pi)
+    assert curves.area(back[6]) == pytest.approx(math.pi)
 
 
 def test_curves_stay_within_tolerance():
