@@ -132,19 +132,20 @@ def after_each(heads: DataFrame, at: str, low: str, span: int = 4096) -> DataFra
 def with_next(docs: DataFrame, sketch_k: int = K) -> DataFrame:
     """``docs`` (doc_id, text) with their sketch and __next, a struct of text and
     sketch of the document with the next higher doc_id; after the last comes the
-    first. A window looks ahead inside each bucket; the first document of the next
-    bucket is joined to a bucket's last."""
+    first. Each bucket gets a copy of the next one's first document behind its own, so a
+    window inside the bucket sees all it needs. Buckets are dealt by ranges of them, which
+    evens out what the tasks get."""
     docs = docs.select("doc_id", "text")
     dealt, buckets = bucketed(docs)
     heads = dealt.groupBy("__bucket").agg(F.min(F.struct("doc_id")).alias("__low"))
     wanted = cut(after_each(heads, "__bucket", "__low").select("__bucket", F.col("__after.doc_id").alias("__id")))
-    texts = docs.select(F.col("doc_id").alias("__own"), "text").join(broadcast_if_small(wanted.select("__id").distinct(), buckets, 200_000), F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
-    firsts = with_sketch(texts.groupBy("__own").agg(F.min(F.struct("text")).alias("__text")).select("__own", "__text.text"), "text", "sketch", sketch_k)
-    firsts = wanted.join(firsts, F.col("__id").eqNullSafe(F.col("__own")), "left").select("__bucket", F.struct("text", "sketch").alias("__after"))
-    sketched = with_sketch(dealt, "text", "sketch", sketch_k)
-    inside = sketched.withColumn("__next", F.lead(F.struct("text", "sketch")).over(W.partitionBy("__bucket").orderBy("doc_id", "text")))
-    joined = inside.join(firsts, "__bucket", "left")
-    return joined.withColumn("__next", F.coalesce("__next", "__after")).drop("__bucket", "__after")
+    texts = docs.join(broadcast_if_small(wanted.select("__id").distinct(), buckets, 200_000), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    firsts = texts.groupBy("doc_id").agg(F.min(F.struct("text")).alias("t")).select("doc_id", "t.text")
+    copies = cut(wanted.join(firsts, F.col("__id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text", "__bucket", F.lit(True).alias("__copy")))
+    whole = dealt.withColumn("__copy", F.lit(False)).unionByName(copies).repartitionByRange("__bucket")
+    order = W.partitionBy("__bucket").orderBy("__copy", "doc_id", "text")
+    ahead = with_sketch(whole, "text", "sketch", sketch_k).withColumn("__next", F.lead(F.struct("text", "sketch")).over(order))
+    return ahead.where(~F.col("__copy")).drop("__bucket", "__copy")
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
