@@ -41,6 +41,22 @@ def points_of(segments: list[tuple], tolerance: float) -> np.ndarray:
     return np.array(out, float).reshape(-1, 2)
 
 
+def chords(rows: DataFrame, keep: list[str], tolerance: float) -> DataFrame:
+    """``keep`` columns and points, an array of x and y: those of ``segments``, arcs by
+    chords within ``tolerance``, without the last end."""
+    ship(rows.sparkSession)
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [points_of([tuple(s[n] for n in NAMES) for s in segments or []], tolerance).tolist() for segments in batch.column(len(keep)).to_pylist()]
+            points = pa.array([[{"x": x, "y": y} for x, y in one] for one in made], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], points], [*keep, "points"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(*keep, "segments").mapInArrow(run, f"{schema}, points array<struct<x: double, y: double>>")
+
+
 def _polygon(rings: list[list[float]]) -> polygons.Polygon:
     return [np.array(r, float).reshape(-1, 2) for r in rings]
 
@@ -49,11 +65,17 @@ def _dicts(segments: list[tuple]) -> list[dict]:
     return [dict(zip(NAMES, s, strict=True)) for s in segments]
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def polygons_of(closed: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """(drawing_id, contour_id, rings, fixed, box, area). Rings are null for a contour
     without any area even after repair; of several pieces the largest is taken."""
     ship(closed.sparkSession)
-    rows = closed.select("drawing_id", "contour_id", "segments")
+    # The work is in judging, not in bytes, so the number of tasks is given, and one
+    # drawing's contours are dealt to all of them.
+    rows = closed.select("drawing_id", "contour_id", "segments").repartition(_tasks(closed), "drawing_id", "contour_id")
     kind = {c: rows.schema[c].dataType.simpleString() for c in ("drawing_id", "contour_id")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +102,7 @@ def relations(shapes: DataFrame, grow: float = 0.0) -> DataFrame:
     good = shapes.where(F.col("rings").isNotNull())
     pairs = box_pairs_of_any_size(good.select("drawing_id", F.col("contour_id").alias("id"), *BOX), grow)
     side = lambda s: good.select("drawing_id", F.col("contour_id").alias(s), F.col("rings").alias(f"{s}_rings"))
-    # The work is in judging, not in bytes, so the number of tasks is given: small
-    # partitions would be coalesced.
-    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = _tasks(shapes)  # else small partitions would be coalesced
     rows = pairs.join(side("a"), ["drawing_id", "a"]).join(side("b"), ["drawing_id", "b"]).select("drawing_id", "a", "b", "a_rings", "b_rings").repartition(tasks, "drawing_id", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from kerfwork.functions.geometry import arc_angles, arc_steps, bulge_arc, circle_3pt, rounded
 from kerfwork.operators import outlined, outlines, report, rings, segments
+from kerfwork.plans import clean
 from kerfwork.plans.views import duck, view
-from kerfwork.sources import dxf
+from kerfwork.sources import dxf, images
 
 C = F.col
 
@@ -59,16 +60,6 @@ def unit_scale(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select(C("o_orderkey").alias("id"), scale.alias("scale"), code.alias("code"))
 
 
-@query(f"SELECT drawing_id, seg_id, sx * 25.4::DOUBLE AS sx, sy * 25.4::DOUBLE AS sy, ex * 25.4::DOUBLE AS ex, ey * 25.4::DOUBLE AS ey FROM {SEG} s")
-def scale_coords(spark, d):
-    return view(spark, d, "seg").select("drawing_id", "seg_id", *[(C(c) * 25.4).alias(c) for c in ("sx", "sy", "ex", "ey")])
-
-
-@query(f"SELECT drawing_id, seg_id, ex AS sx, ey AS sy, sx AS ex, sy AS ey FROM {SEG} s")
-def reverse_segments(spark, d):
-    return view(spark, d, "seg").select("drawing_id", "seg_id", C("ex").alias("sx"), C("ey").alias("sy"), C("sx").alias("ex"), C("sy").alias("ey"))
-
-
 ARC_SQL = f"""SELECT id, x0, y0, x1, y1, b, (x0 + x1) / 2 - (1 - b * b) / (4 * b) * (y1 - y0) AS cx, (y0 + y1) / 2 + (1 - b * b) / (4 * b) * (x1 - x0) AS cy,
   sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) * (1 + b * b) / (4 * abs(b)) AS radius, b > 0 AS ccw FROM {ARC} a"""
 
@@ -98,9 +89,12 @@ def arc_midpoint(spark, d):
     return _round(_arcs(spark, d).select("id", (C("cx") + C("radius") * F.cos(half)).alias("mx"), (C("cy") + C("radius") * F.sin(half)).alias("my")), 6, "mx", "my")
 
 
-@query(f"SELECT id, greatest(1, CAST(ceil(abs(4 * atan(b)) / (2 * acos(1 - least(0.02, 0.999 * radius) / radius)) - 1e-9) AS INTEGER)) AS steps FROM ({ARC_SQL}) t")
+STEPS = "greatest(1, CAST(ceil(abs(4 * atan(b)) / (2 * acos(1 - least(0.02, 0.999 * radius) / radius))) AS INTEGER))"
+
+
+@query(f"SELECT id, {STEPS} AS steps FROM ({ARC_SQL}) t")
 def arc_steps_count(spark, d):
-    return _arcs(spark, d).select("id", F.greatest(F.lit(1), F.ceil(F.abs(C("turn")) / (2 * F.acos(1 - F.least(F.lit(0.02), 0.999 * C("radius")) / C("radius"))) - 1e-9).cast("int")).alias("steps"))
+    return _arcs(spark, d).select("id", arc_steps(C("turn"), C("radius"), 0.02).alias("steps"))
 
 
 @query(f"""SELECT id, k, {_r('cx + radius * cos(atan2(y0 - cy, x0 - cx) + 4 * atan(b) * k / 4)', 5, 'x')}, {_r('cy + radius * sin(atan2(y0 - cy, x0 - cx) + 4 * atan(b) * k / 4)', 5, 'y')}
@@ -112,22 +106,14 @@ def arc_points(spark, d):
     return _round(each.select("id", "k", (C("cx") + C("radius") * F.cos(at)).alias("x"), (C("cy") + C("radius") * F.sin(at)).alias("y")), 5, "x", "y")
 
 
-@query()
+@query(f"""WITH s AS (SELECT *, {STEPS} AS n FROM ({ARC_SQL}) t), p AS (SELECT *, unnest(range(n + 1)) AS k FROM s)
+SELECT id, CAST(k AS INTEGER) AS k, {_r('cx + radius * cos(atan2(y0 - cy, x0 - cx) + 4 * atan(b) * k / n)', 5, 'x')}, {_r('cy + radius * sin(atan2(y0 - cy, x0 - cx) + 4 * atan(b) * k / n)', 5, 'y')} FROM p""")
 def arc_discretize(spark, d):
-    """Whole arcs in chords within 0.02 of them."""
-    steps = arc_steps(C("turn"), C("radius"), 0.02)
-    each = _arcs(spark, d).withColumn("n", steps).withColumn("k", F.explode(F.sequence(F.lit(0), C("n"))))
-    at = C("a0") + C("turn") * C("k") / C("n")
-    x = F.when(C("k") == 0, C("x0")).when(C("k") == C("n"), C("x1")).otherwise(C("cx") + C("radius") * F.cos(at))
-    y = F.when(C("k") == 0, C("y0")).when(C("k") == C("n"), C("y1")).otherwise(C("cy") + C("radius") * F.sin(at))
-    return each.select("id", "k", x.alias("x"), y.alias("y"))
-
-
-@query(f"SELECT id, part, {_r('4 * atan(b) / 2', 6, 'turn')} FROM ({ARC_SQL}) t CROSS JOIN (SELECT unnest(range(2)) AS part) n WHERE abs(4 * atan(b)) > 4")
-def split_full_sweep(spark, d):
-    """Arcs over four radians as two halves."""
-    wide = _arcs(spark, d).where(F.abs("turn") > 4).withColumn("part", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
-    return _round(wide.select("id", "part", (C("turn") / 2).alias("turn")), 6, "turn")
+    """Whole arcs in chords within 0.02 of them, as polygons of contours have them."""
+    rows = _arcs(spark, d).select(C("id").alias("drawing_id"), F.lit(0).cast("long").alias("contour_id"), F.array(_arc()).alias("segments"), C("x1"), C("y1"))
+    got = outlined.chords(rows, ["drawing_id", "x1", "y1"], 0.02)
+    ended = got.select(C("drawing_id").alias("id"), F.posexplode(F.concat("points", F.array(F.struct(C("x1").alias("x"), C("y1").alias("y"))))).alias("k", "p"))
+    return _round(ended.select("id", "k", "p.x", "p.y"), 5, "x", "y")
 
 
 @query(f"SELECT id, {_r('cx', 5, 'ux')}, {_r('cy', 5, 'uy')}, {_r('radius', 5, 'radius')} FROM ({ARC_SQL}) t")
@@ -161,25 +147,29 @@ def ring_orient(spark, d):
     return _round(rings.oriented(view(spark, d, "poly"), "vec_id", ccw=False), 4, "x", "y")
 
 
-@query(f"""SELECT a.drawing_id, least(a.pt, b.pt) AS a, greatest(a.pt, b.pt) AS b FROM {JIT_ENDS} a JOIN {JIT_ENDS} b ON a.drawing_id = b.drawing_id AND floor(a.x) - floor(b.x) BETWEEN -1 AND 1 AND a.y = b.y
-  AND a.pt < b.pt AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.05""")
+NEAR = "a.drawing_id = b.drawing_id AND floor(a.x) = floor(b.x) AND floor(a.y) = floor(b.y) AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.05"
+
+
+@query(f"SELECT a.drawing_id, a.pt AS a, b.pt AS b FROM {JIT_ENDS} a JOIN {JIT_ENDS} b ON {NEAR} AND a.pt < b.pt")
 def snap_pairs(spark, d):
     return segments.snap_pairs(view(spark, d, "jit")).select("drawing_id", "a", "b")
 
 
-JIT_SPOTS = f"(SELECT drawing_id, x, y, min(pt) AS pt FROM {JIT_ENDS} e GROUP BY ALL)"
-CLUSTERS = f"""WITH sp AS (SELECT * FROM {JIT_SPOTS} s), o AS (SELECT *, lag(x) OVER (PARTITION BY drawing_id, y ORDER BY x) AS px FROM sp),
-g AS (SELECT *, sum(CASE WHEN px IS NULL OR x - px > 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id, y ORDER BY x) AS grp FROM o),
-r AS (SELECT *, min(pt) OVER (PARTITION BY drawing_id, y, grp) AS root FROM g),
-cl AS (SELECT e.drawing_id, e.pt, e.x, e.y, r.root FROM {JIT_ENDS} e JOIN r USING (drawing_id, x, y)) """
+def _clusters(ends: str) -> str:
+    """Spots of ends, the pairs of them that are near, and the least spot reachable."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {ends} z), sp AS MATERIALIZED (SELECT drawing_id, x, y, min(pt) AS pt FROM e GROUP BY ALL),
+p AS MATERIALIZED (SELECT a.drawing_id, a.pt AS u, b.pt AS v FROM sp a JOIN sp b ON {NEAR} AND a.pt <> b.pt),
+r AS (SELECT drawing_id, pt AS u, pt AS root FROM sp UNION SELECT p.drawing_id, p.v, r.root FROM r JOIN p ON r.drawing_id = p.drawing_id AND r.u = p.u AND r.root < p.v),
+l AS (SELECT drawing_id, u, min(root) AS root FROM r GROUP BY drawing_id, u),
+cl AS (SELECT e.drawing_id, e.pt, e.x, e.y, l.root FROM e JOIN sp USING (drawing_id, x, y) JOIN l ON l.drawing_id = sp.drawing_id AND l.u = sp.pt) """
 
 
-@query(CLUSTERS + "SELECT drawing_id, pt, root FROM cl")
+@query(_clusters(JIT_ENDS) + "SELECT drawing_id, pt, root FROM cl")
 def snap_clusters(spark, d):
     return segments.snap_clusters(view(spark, d, "jit")).select("drawing_id", "pt", "root")
 
 
-@query(CLUSTERS + f"SELECT drawing_id, root, {_r('avg(x)', 6, 'cx')}, {_r('avg(y)', 6, 'cy')}, count(*) AS members FROM cl GROUP BY drawing_id, root")
+@query(_clusters(JIT_ENDS) + f"SELECT drawing_id, root, {_r('avg(x)', 6, 'cx')}, {_r('avg(y)', 6, 'cy')}, count(*) AS members FROM cl GROUP BY drawing_id, root")
 def snap_centroids(spark, d):
     return _round(segments.snap_centroids(view(spark, d, "jit")), 6, "cx", "cy")
 
@@ -192,10 +182,7 @@ def _short(spark, d) -> DataFrame:
 SHORT = f"(SELECT drawing_id, seg_id, sx, sy, CASE WHEN seg_id % 50 = 0 THEN sx + 0.015625::DOUBLE ELSE ex END AS ex, CASE WHEN seg_id % 50 = 0 THEN sy ELSE ey END AS ey FROM {JIT} s)"
 
 
-@query(f"""WITH e AS (SELECT * FROM {ENDS.format(SHORT + ' q')} z), sp AS (SELECT drawing_id, x, y, min(pt) AS pt FROM e GROUP BY ALL), o AS (SELECT *, lag(x) OVER (PARTITION BY drawing_id, y ORDER BY x) AS px FROM sp),
-g AS (SELECT *, sum(CASE WHEN px IS NULL OR x - px > 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id, y ORDER BY x) AS grp FROM o),
-c AS (SELECT e.drawing_id, e.pt, g.y AS gy, g.grp FROM e JOIN g USING (drawing_id, x, y))
-SELECT a.drawing_id, a.pt // 2 AS seg_id FROM c a JOIN c b ON a.drawing_id = b.drawing_id AND a.pt + 1 = b.pt AND a.pt % 2 = 0 AND a.gy = b.gy AND a.grp = b.grp""")
+@query(_clusters(ENDS.format(SHORT + " q")) + "SELECT drawing_id, pt // 2 AS seg_id FROM cl GROUP BY drawing_id, pt // 2 HAVING min(root) = max(root)")
 def zero_length(spark, d):
     return segments.zero_length(_short(spark, d))
 
@@ -246,9 +233,34 @@ def contiguity_check(spark, d):
     return segments.contiguous(view(spark, d, "seg").withColumn("contour", F.floor(C("seg_id") / 3)), "contour")
 
 
-@query()
+SIDES = [("x0", "y0", "x1", "y0"), ("x1", "y0", "x1", "y1"), ("x1", "y1", "x0", "y1"), ("x0", "y1", "x0", "y0")]
+
+
+@query(f"SELECT drawing_id, 4 * id AS contour_id, CASE WHEN id % 3 = 0 THEN 5 ELSE 4 END AS segments, true AS closed, false AS crossed FROM {RECT} r WHERE id % 3 <> 0 UNION ALL "
+       f"SELECT drawing_id, 4 * id, 3, false, false FROM {RECT} r WHERE id % 3 = 0")
 def chain_contours(spark, d):
-    return segments.chain(segments.survivors(view(spark, d, "seg")))
+    """Rectangles far apart as sides in a mixed order, every other one turned round; every
+    third rectangle lacks its last side."""
+    far = view(spark, d, "rect").withColumns({c: C(c) + 100 * C("id") for c in ("x0", "x1")})
+    sides = F.array(*[F.struct(F.lit((k * 3) % 4).alias("at"), F.lit(k).alias("k"), *[C(c).alias(n) for c, n in zip(side, ("sx", "sy", "ex", "ey"), strict=True)]) for k, side in enumerate(SIDES)])
+    each = far.select("drawing_id", "id", F.inline(sides)).where("id % 3 <> 0 or k < 3")
+    turned = (C("k") + C("id")) % 2 == 1
+    each = each.where("id % 3 <> 0").select("drawing_id", "id", (4 * C("id") + C("at")).alias("seg_id"), *[F.when(turned, C(b)).otherwise(C(a)).alias(a) for a, b in (("sx", "ex"), ("sy", "ey"), ("ex", "sx"), ("ey", "sy"))]).unionByName(
+        each.where("id % 3 = 0").select("drawing_id", "id", (4 * C("id") + C("k")).alias("seg_id"), "sx", "sy", "ex", "ey"))
+    walked = segments.chain(each).join(each, ["drawing_id", "seg_id"])
+    ends = F.struct("seg_ord", F.when(C("reversed"), F.struct(C("ex").alias("x"), C("ey").alias("y"))).otherwise(F.struct(C("sx").alias("x"), C("sy").alias("y"))).alias("a"), F.when(C("reversed"), F.struct(C("sx").alias("x"), C("sy").alias("y"))).otherwise(F.struct(C("ex").alias("x"), C("ey").alias("y"))).alias("b"))
+    per = walked.groupBy("drawing_id", "contour_id").agg(F.count("*").cast("int").alias("segments"), F.min(ends).alias("low"), F.max(ends).alias("high"), F.max("ambiguous").alias("crossed"))
+    return per.select("drawing_id", "contour_id", "segments", (C("low.a") == C("high.b")).alias("closed"), "crossed")
+
+
+@query(f"SELECT drawing_id, count(*) AS crossings FROM {RECT} r GROUP BY drawing_id")
+def chain_junctions(spark, d):
+    """Four lines from one point each: of the three that are left where the first one
+    ends, one is taken and the others begin contours of their own."""
+    far = view(spark, d, "rect").withColumns({c: C(c) + 100 * C("id") for c in ("x0", "x1")})
+    rays = F.array(*[F.struct(F.lit(k).alias("k"), (C("x0") + a).alias("sx"), (C("y0") + b).alias("sy"), C("x0").alias("ex"), C("y0").alias("ey")) for k, (a, b) in enumerate(((1, 0), (0, 1), (-1, 0), (0, -1)))])
+    each = far.select("drawing_id", "id", F.inline(rays)).select("drawing_id", (4 * C("id") + C("k")).alias("seg_id"), "sx", "sy", "ex", "ey")
+    return segments.chain(each).where("ambiguous").groupBy("drawing_id").agg(F.count("*").alias("crossings"))
 
 
 @query(f"SELECT drawing_id, id FROM {SQ} s WHERE NOT (8 * half < 40 OR 4 * half * half < 200)")
@@ -298,18 +310,6 @@ def orphan_holes(spark, d):
     return rings.orphan_holes(view(spark, d, "sq"))
 
 
-@query(f"SELECT drawing_id, id, x1 - x0 AS w, y1 - y0 AS h FROM {RECT} r WHERE x1 - x0 > 2 OR y1 - y0 > 3")
-def oversize(spark, d):
-    """Parts beyond a 2 x 3 sheet, which may not be turned."""
-    return view(spark, d, "rect").select("drawing_id", "id", (C("x1") - C("x0")).alias("w"), (C("y1") - C("y0")).alias("h")).where("w > 2 or h > 3")
-
-
-@query(f"SELECT drawing_id, id, {_r('2 * sqrt(4 * half * half / pi())', 6, 'diameter')} FROM {SQ} s WHERE 2 * sqrt(4 * half * half / pi()) < 10")
-def small_holes(spark, d):
-    diameter = 2 * F.sqrt(4 * C("half") * C("half") / F.pi())
-    return _round(view(spark, d, "sq").select("drawing_id", "id", diameter.alias("diameter")).where("diameter < 10"), 6, "diameter")
-
-
 @query(f"""WITH p AS (SELECT a.drawing_id, a.id AS a, b.id AS b, a.x0 = b.x0 AND a.y0 = b.y0 AND a.x1 = b.x1 AND a.y1 = b.y1 AS eq,
   least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
   AND NOT (a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1) AND NOT (b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1) AS ov,
@@ -334,11 +334,19 @@ def report_level(spark, d):
     return report.report_level(view(spark, d, "diag"))
 
 
-@query(f"SELECT drawing_id, 'diag_' || code AS info, count(*) AS n FROM {DIAG} g GROUP BY ALL")
+@query(f"SELECT drawing_id, 'diag_' || lower(code) AS info, count(*) AS n FROM {DIAG} g WHERE {SEV} = 0 GROUP BY ALL")
 def info_counts(spark, d):
     return report.info_counts(view(spark, d, "diag"))
 
 
+@query(f"""SELECT drawing_id, count(*) FILTER (WHERE {SEV} = 2) AS criticals, string_agg(code || ': at ' || diag_ord, '|' ORDER BY CAST(diag_ord AS VARCHAR)) FILTER (WHERE {SEV} = 1) AS warnings FROM {DIAG} g WHERE {SEV} > 0 GROUP BY drawing_id""")
+def report_lines(spark, d):
+    """Findings in words, in order."""
+    notes = view(spark, d, "diag").select("drawing_id", F.lit(0).alias("stage"), "code", F.lit(None).cast("string").alias("handle"), F.concat(F.lit("at "), C("diag_ord").cast("string")).alias("message"))
+    told = report.lines(notes)
+    return told.select("drawing_id", F.size("critical_lines").cast("long").alias("criticals"), F.when(F.size("warning_lines") > 0, F.array_join("warning_lines", "|")).alias("warnings"))
+
+
 @query(f"SELECT CAST(max({SEV}) AS BIGINT) AS exit_code FROM {DIAG} g")
 def exit_code(spark, d):
     return report.report_level(view(spark, d, "diag")).agg(F.max("exit_code").alias("exit_code"))
@@ -358,12 +366,6 @@ def otsu_threshold(spark, d):
     return report.otsu(view(spark, d, "px"))
 
 
-@query(f"SELECT drawing_id, {_r('avg(CASE WHEN gray < 128 THEN 1.0 ELSE 0.0 END)', 6, 'fill')}, avg(CASE WHEN gray < 128 THEN 1.0 ELSE 0.0 END) > 0.8 AS inverted FROM {PX} p GROUP BY drawing_id")
-def fill_ratio(spark, d):
-    fill = view(spark, d, "px").groupBy("drawing_id").agg(F.avg((C("gray") < 128).cast("double")).alias("fill"))
-    return _round(fill.withColumn("inverted", C("fill") > 0.8), 6, "fill")
-
-
 @query(f"""WITH a AS (SELECT drawing_id, count(*) AS segments FROM {SEG} s GROUP BY 1), b AS (SELECT drawing_id, count(*) AS groups FROM (SELECT drawing_id FROM ({KEY} {SEG} s) k GROUP BY drawing_id, px, py, qx, qy HAVING count(*) > 1) GROUP BY 1)
 SELECT drawing_id, segments, coalesce(groups, 0) AS duplicate_groups, CASE WHEN coalesce(groups, 0) > 0 THEN 'warning' ELSE 'ok' END AS level FROM a LEFT JOIN b USING (drawing_id)""")
 def drawing_report(spark, d):
@@ -379,6 +381,12 @@ def _line(sx: str, sy: str, ex: str, ey: str):
     return F.struct(F.lit("line").alias("kind"), *ends, *[F.lit(None).cast("double").alias(n) for n in ("cx", "cy", "radius")], F.lit(None).cast("boolean").alias("ccw"))
 
 
+def _arc(**given):
+    """An arc segment from columns x0 to ccw, or those given."""
+    value = {"sx": C("x0"), "sy": C("y0"), "ex": C("x1"), "ey": C("y1"), "cx": C("cx"), "cy": C("cy"), "radius": C("radius"), "ccw": C("ccw")} | given
+    return F.struct(F.lit("arc").alias("kind"), *[v.alias(n) for n, v in value.items()])
+
+
 def _outlines(spark, d) -> DataFrame:
     """Rectangles as contours of eight lines, two a side."""
     mx, my = "(x0 + x1) / 2", "(y0 + y1) / 2"
@@ -402,8 +410,7 @@ def dxf_roundtrip(spark, d):
 @query(f"SELECT id % 11 AS drawing_id, row_number() OVER (PARTITION BY id % 11 ORDER BY id) - 1 AS ord, {_r('cx', 5, 'cx')}, {_r('cy', 5, 'cy')}, {_r('radius', 5, 'radius')}, ccw FROM ({ARC_SQL}) t")
 def dxf_bulges(spark, d):
     """Arcs through the bulges of written polylines."""
-    arc = F.struct(F.lit("arc").alias("kind"), *[C(a).alias(b) for a, b in (("x0", "sx"), ("y0", "sy"), ("x1", "ex"), ("y1", "ey"))], "cx", "cy", "radius", "ccw")
-    got = _reread(_arcs(spark, d).select((C("id") % 11).alias("drawing_id"), C("id").alias("ord"), F.lit(False).alias("closed"), F.array(arc).alias("segments")))
+    got = _reread(_arcs(spark, d).select((C("id") % 11).alias("drawing_id"), C("id").alias("ord"), F.lit(False).alias("closed"), F.array(_arc()).alias("segments")))
     return _round(got.select("drawing_id", "ord", F.inline("segments")).select("drawing_id", "ord", "cx", "cy", "radius", "ccw"), 5, "cx", "cy", "radius")
 
 
@@ -466,6 +473,169 @@ def polygon_repair(spark, d):
     return _round(outlined.polygons_of(rows).select("drawing_id", "contour_id", "fixed", "area"), 6, "area")
 
 
+def _discs(spark, d) -> DataFrame:
+    """Half discs around (id, size) with a radius of 1 to 5: a diameter and an arc, every
+    other one run clockwise."""
+    part = spark.read.parquet(f"{d}/part.parquet").select((C("p_partkey") % 20).alias("drawing_id"), C("p_partkey").alias("contour_id"), (10.0 * C("p_partkey")).alias("cx"), C("p_size").cast("double").alias("cy"), (1.0 + C("p_size") % 5).alias("radius"))
+    part = part.withColumns({"x0": C("cx") - C("radius"), "x1": C("cx") + C("radius")})
+    there = F.array(_line("x0", "cy", "x1", "cy"), _arc(sx=C("x1"), sy=C("cy"), ex=C("x0"), ey=C("cy"), ccw=F.lit(True)))
+    back = F.array(_line("x1", "cy", "x0", "cy"), _arc(sx=C("x0"), sy=C("cy"), ex=C("x1"), ey=C("cy"), ccw=F.lit(False)))
+    return part.withColumn("segments", F.when(C("contour_id") % 2 == 0, there).otherwise(back)).withColumn("closed", F.lit(True))
+
+
+DISC = "(SELECT p_partkey % 20 AS drawing_id, p_partkey AS contour_id, 10.0::DOUBLE * p_partkey AS cx, p_size::DOUBLE AS cy, (1 + p_size % 5)::DOUBLE AS radius FROM part)"
+
+
+@query(f"SELECT drawing_id, contour_id, {_r('(pi() + 2) * radius', 6, 'perimeter')}, {_r('pi() * radius * radius / 2', 6, 'area')}, (pi() + 2) * radius < 12 OR pi() * radius * radius / 2 < 5 AS speck FROM {DISC} t")
+def measure_contours(spark, d):
+    """Perimeter and area of contours with arcs, by the cleaning of drawings."""
+    got = clean._measures(_discs(spark, d)).withColumn("speck", rings.is_speck(12, 5, "closed"))
+    return _round(got.select("drawing_id", "contour_id", "perimeter", "area", "speck"), 6, "perimeter", "area")
+
+
+@query(f"""SELECT drawing_id, contour_id, k, CASE WHEN k = arc_at THEN 'arc' ELSE 'line' END AS kind, {_r("cx + CASE WHEN (k = 0) = (way = 0) THEN -radius ELSE radius END", 6, 'sx')}, CASE WHEN k = arc_at THEN way = 0 END AS ccw
+  FROM (SELECT *, CASE WHEN contour_id % 3 = 0 THEN 0 ELSE 1 END AS way, unnest([0, 1]) AS k, CASE WHEN (contour_id % 2 = 0) = (contour_id % 3 = 0) THEN 1 ELSE 0 END AS arc_at FROM {DISC} t) q""".replace("(k = 0) = (way = 0)", "(k = arc_at) <> (way = 0)"))
+def orient_contours(spark, d):
+    """Contours of both windings turned to the one wanted: counter-clockwise for every
+    third one, clockwise for the rest; segments and arcs turn with them."""
+    got = outlined.oriented(_discs(spark, d).withColumn("want", C("contour_id") % 3 == 0), "want")
+    each = got.select("drawing_id", "contour_id", F.posexplode("segments").alias("k", "s"))
+    return _round(each.select("drawing_id", "contour_id", "k", "s.kind", "s.sx", "s.ccw"), 6, "sx")
+
+
+def _circles(spark, d) -> DataFrame:
+    """Circles as two half arcs, and every third one as one arc all round."""
+    disc = _discs(spark, d)
+    east, west = disc["cx"] + disc["radius"], disc["cx"] - disc["radius"]
+    half = lambda a, b: _arc(sx=a, sy=C("cy"), ex=b, ey=C("cy"), ccw=F.lit(True))
+    made = F.when(C("contour_id") % 3 == 0, F.array(half(east, east))).otherwise(F.array(half(east, west), half(west, east)))
+    return disc.select("drawing_id", C("contour_id").alias("ord"), "closed", made.alias("segments"))
+
+
+@query(f"""SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY contour_id) - 1 AS ord, 2 AS arcs, true AS closed, {_r('cx', 6, 'cx')}, {_r('cy', 6, 'cy')}, {_r('radius', 6, 'radius')} FROM {DISC} t""")
+def dxf_circles(spark, d):
+    """Full circles are written as such, a full turn as two halves, and both come back."""
+    got = _reread(_circles(spark, d))
+    first = F.get("segments", 0)
+    return _round(got.select("drawing_id", "ord", F.size("segments").alias("arcs"), "closed", *[first[c].alias(c) for c in ("cx", "cy", "radius")]), 6, "cx", "cy", "radius")
+
+
+@query(f"""SELECT drawing_id, count(*) FILTER (WHERE contour_id % 3 <> 0) AS circles, count(*) FILTER (WHERE contour_id % 3 = 0) AS polylines, {_r('min(cx - radius)', 6, 'low_x')}, {_r('max(cx + radius)', 6, 'high_x')}, {_r('min(cy - radius)', 6, 'low_y')}, {_r('max(cy + radius)', 6, 'high_y')} FROM {DISC} t GROUP BY drawing_id""")
+def full_circle_test(spark, d):
+    """What the writer takes for a circle, and the extents in its header."""
+    texts = dxf.documents_of(_circles(spark, d), "drawing_id")
+    count = lambda word: F.regexp_count("value", F.lit(rf"(?m)^{word}$")).cast("long")
+    at = lambda name, code: F.regexp_extract("value", rf"\${name}\n10\n(\S+)\n20\n(\S+)", code).cast("double")
+    return _round(texts.select("drawing_id", count("CIRCLE").alias("circles"), count("LWPOLYLINE").alias("polylines"), at("EXTMIN", 1).alias("low_x"), at("EXTMAX", 1).alias("high_x"), at("EXTMIN", 2).alias("low_y"), at("EXTMAX", 2).alias("high_y")), 6, "low_x", "high_x", "low_y", "high_y")
+
+
+@query(f"""SELECT id % 11 AS drawing_id, row_number() OVER (PARTITION BY id % 11 ORDER BY id) - 1 AS ord, {_r('25.4 * x0', 4, 'sx')}, {_r('25.4 * y1', 4, 'ey')}, {_r('25.4 * cx', 4, 'cx')}, {_r('25.4 * radius', 4, 'radius')} FROM ({ARC_SQL}) t""")
+def scale_coords(spark, d):
+    """Drawings in inches: ends, centers and radii of arcs are read in millimetres."""
+    texts = dxf.documents_of(_arcs(spark, d).select((C("id") % 11).alias("drawing_id"), C("id").alias("ord"), F.lit(False).alias("closed"), F.array(_arc()).alias("segments")), "drawing_id")
+    inches = F.replace("value", F.lit("$INSUNITS\n70\n4\n"), F.lit("$INSUNITS\n70\n1\n"))
+    got = dxf.from_files(texts.select(C("drawing_id").cast("string").alias("path"), inches.cast("binary").alias("content")))
+    return _round(got.select(C("path").cast("long").alias("drawing_id"), "ord", F.inline("segments")).select("drawing_id", "ord", "sx", "ey", "cx", "radius"), 4, "sx", "ey", "cx", "radius")
+
+
+@query(f"""WITH q AS (SELECT a.drawing_id, {HOLDS.format('a', 'b')} AS ab, {HOLDS.format('b', 'a')} AS ba, {SHARED} AS shared, {APART} AS distance, a.id % 2 = 0 AND b.id % 2 = 0 AS outer_ FROM {RECT} a JOIN {RECT} b ON a.drawing_id = b.drawing_id AND a.id < b.id),
+f AS (SELECT drawing_id, CASE WHEN NOT ab AND NOT ba AND shared > 0 THEN 'PARTS_OVERLAP' WHEN ab AND ba AND outer_ THEN 'PARTS_DUPLICATE' WHEN NOT ab AND NOT ba AND distance > 1e-9 AND distance < 0.3 THEN 'PARTS_TOO_CLOSE' END AS code FROM q
+  UNION ALL SELECT drawing_id, 'PART_OVERSIZED' FROM {RECT} r WHERE id % 2 = 0 AND (x1 - x0 > 2 OR y1 - y0 > 3) UNION ALL SELECT drawing_id, 'HOLE_TOO_SMALL' FROM {RECT} r WHERE id % 2 = 1 AND 2 * sqrt((x1 - x0) * (y1 - y0) / pi()) < 2.2)
+SELECT drawing_id, code, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY ALL""")
+def part_findings(spark, d):
+    """All checks of parts and holes: even rectangles are parts, odd ones holes, each of a
+    part of its own."""
+    shapes = outlined.polygons_of(_boxes(spark, d))
+    tree = shapes.select("drawing_id", "contour_id", C("contour_id").alias("part"), F.when(C("contour_id") % 2 == 0, "exterior").otherwise("interior").alias("role"))
+    return outlined.findings(shapes, tree, outlined.relations(shapes, 0.15), 0.15, (2, 3), 2.2).groupBy("drawing_id", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT i.drawing_id, count(DISTINCT i.id) AS lost FROM {RECT} i JOIN {RECT} o ON o.drawing_id = i.drawing_id AND o.id <> i.id AND {HOLDS.format('o', 'i')} AND NOT ({HOLDS.format('i', 'o')}) GROUP BY i.drawing_id""")
+def contained_lost(spark, d):
+    """Contours that welding all of a drawing would fill."""
+    _, notes = outlined.weld(_boxes(spark, d), "all")
+    return notes.where("code = 'HOLES_LOST_IN_WELD_ALL'").groupBy("drawing_id").agg(F.count("*").alias("lost"))
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT drawing_id, a, b FROM ({OVER}) o), e AS MATERIALIZED (SELECT drawing_id, a AS u, b AS v FROM p UNION ALL SELECT drawing_id, b, a FROM p),
+r AS (SELECT drawing_id, id AS u, id AS root FROM {RECT} n UNION SELECT e.drawing_id, e.v, r.root FROM r JOIN e ON r.drawing_id = e.drawing_id AND r.u = e.u AND r.root < e.v),
+c AS MATERIALIZED (SELECT drawing_id, u AS id, min(root) AS root FROM r GROUP BY drawing_id, u), x AS (SELECT q.drawing_id, root, y0, y1, unnest(range(CAST(x0 * 8 AS BIGINT), CAST(x1 * 8 AS BIGINT))) AS x FROM {RECT} q JOIN c USING (drawing_id, id)),
+y AS (SELECT DISTINCT drawing_id, root, x, unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS y FROM x)
+SELECT drawing_id, {_r('count(*) / CAST(8 AS DOUBLE)', 6, 'area')} FROM y GROUP BY drawing_id""")
+def weld_overlapping(spark, d):
+    """Area of all contours after those that overlap are united, cluster by cluster."""
+    made, _ = outlined.weld(_boxes(spark, d))
+    signed = F.aggregate("segments", F.lit(0.0), lambda t, s: t + s["sx"] * s["ey"] - s["ex"] * s["sy"]) / 2
+    return _round(made.groupBy("drawing_id").agg(F.sum(signed).alias("area")), 6, "area")
+
+
+@query(f"""SELECT p_partkey AS id, CASE WHEN bump = 0 THEN 4 ELSE 5 END AS lines, bump > 0 AND bump <= 0.5 AS reverted, {_r('10 * w + w * bump / 2', 6, 'area')} FROM (SELECT p_partkey, (4 + p_size % 7)::DOUBLE AS w, (p_partkey % 10) / 10.0::DOUBLE AS bump FROM part) t""")
+def area_guard(spark, d):
+    """A side with a bump: low ones are thinned away, which would change the area too much,
+    so such contours stay as they were; without one the side becomes one line."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(C("p_partkey").alias("id"), (4.0 + C("p_size") % 7).alias("w"), ((C("p_partkey") % 10) / 10.0).cast("double").alias("bump"), F.lit(True).alias("closed"))
+    spots = [("0", "0"), ("w / 2", "-bump"), ("w", "0"), ("w", "10"), ("0", "10")]
+    got = outlines.simplified(part.withColumn("segments", F.array(*[_line(*a, *b) for a, b in zip(spots, spots[1:] + spots[:1], strict=True)])), ["id"], tolerance=0.5)
+    signed = F.aggregate("segments", F.lit(0.0), lambda t, s: t + s["sx"] * s["ey"] - s["ex"] * s["sy"]) / 2
+    return _round(got.select("id", F.size("segments").alias("lines"), "reverted", signed.alias("area")), 6, "area")
+
+
+@query(f"""SELECT DISTINCT w, h, 1 AS rings, 4 AS corners, {_r('10.0', 6, 'width_mm')}, {_r('10.0 * h / w', 6, 'height_mm')}, 1.0::DOUBLE AS n_parts, w * h > 0.8 * 40 * 30 AS inverted FROM (SELECT 18 + p_size % 20 AS w, 14 + p_partkey % 14 AS h FROM part) t""")
+def trace_rings(spark, d):
+    """Black rectangles on white images of 40 x 30 cells, traced without smoothing."""
+    sizes = spark.read.parquet(f"{d}/part.parquet").select((18 + C("p_size") % 20).cast("int").alias("w"), (14 + C("p_partkey") % 14).cast("int").alias("h")).distinct()
+    row = F.concat(F.lit("f"), F.repeat(F.lit("0"), C("w")), F.repeat(F.lit("f"), 39 - C("w")))
+    body = F.concat(F.repeat(F.lit("f"), F.lit(40)), F.repeat(row, C("h")), F.repeat(F.lit("f"), 40 * (29 - C("h"))))
+    image = F.struct(F.concat_ws("x", "w", "h").alias("origin"), F.lit(30).alias("height"), F.lit(40).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.regexp_replace(body, "(.)", "$1$1")).alias("data"))
+    got = images.from_images(sizes.select(image.alias("image")), width_mm=10.0, threshold=128, sigma=0.0)
+    per = got.groupBy("path").agg(F.count("segments").cast("int").alias("rings"), F.max(F.size(F.filter("segments", lambda s: (s["sx"] != s["ex"]) & (s["sy"] != s["ey"])))).alias("corners"), F.max(C("stats")["width_mm"]).alias("width_mm"), F.max(C("stats")["height_mm"]).alias("height_mm"), F.max(C("stats")["n_parts"]).alias("n_parts"), F.coalesce(F.bool_or(C("code") == "RASTER_POSSIBLE_INVERTED"), F.lit(False)).alias("inverted"))
+    size = F.split("path", "x")
+    return _round(per.select(size[0].cast("long").alias("w"), size[1].cast("long").alias("h"), "rings", "corners", "width_mm", "height_mm", "n_parts", "inverted"), 6, "width_mm", "height_mm")
+
+
+def _sheets(spark, d) -> DataFrame:
+    """Drawings as readers give them: squares in rows of 20, of four lines whose ends miss
+    each other by up to 3/64 mm, with a round hole; every tenth has a speck beside it and
+    every fiftieth a line that ends nowhere."""
+    part = spark.read.parquet(f"{d}/part.parquet").select((C("p_partkey") % 20).cast("string").alias("path"), C("p_partkey").alias("id"), F.floor(C("p_partkey") / 20).alias("n"), (8.0 + C("p_size") % 8).alias("w"))
+    part = part.withColumns({"x0": 20.0 * (C("n") % 20), "y0": 20.0 * F.floor(C("n") / 20)})
+    part = part.withColumns({"x1": C("x0") + C("w"), "y1": C("y0") + C("w"), "e": (C("id") % 4) / 64.0, "cx": C("x0") + 4, "cy": C("y0") + 4})
+    ring = lambda r, x="cx", y="cy": F.array(*[_arc(sx=C(x) + s * r, sy=C(y), ex=C(x) - s * r, ey=C(y), cx=C(x), cy=C(y), radius=F.lit(float(r)), ccw=F.lit(True)) for s in (1, -1)])
+    sides = [F.array(_line(*side)) for side in (("x0", "y0", "x1 - e", "y0"), ("x1", "y1", "x1", "y0"), ("x1", "y1 + e", "x0", "y1"), ("x0", "y0", "x0", "y1"))]
+    every = [*((side, True) for side in sides), (ring(1.5), True), (ring(0.07, "x1", "y1"), C("id") % 10 == 0), (F.array(_line("x1 + 1", "y0", "x1 + 2", "y0")), C("id") % 50 == 7)]
+    none = F.lit(None).cast(f"array<struct<{dxf.DDL.split('array<struct<')[1]}")
+    each = part.select("path", "id", F.posexplode(F.array(*[segments if keep is True else F.when(keep, segments).otherwise(none) for segments, keep in every])).alias("k", "segments")).where("segments is not null")
+    return each.select("path", (8 * C("id") + C("k")).alias("ord"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("message"), (8 * C("id") + C("k")).cast("string").alias("handle"), F.lit("0").alias("layer"), (C("k").isin(4, 5)).alias("closed"), F.lit(False).alias("flattened"), "segments")
+
+
+SHEET = """SELECT CAST(p_partkey % 20 AS VARCHAR) AS drawing_id, count(*) AS parts, count(*) FILTER (WHERE p_partkey % 10 = 0) AS specks, count(*) FILTER (WHERE p_partkey % 50 = 7) AS loose FROM part GROUP BY 1"""
+
+
+@query(f"""SELECT drawing_id, CASE WHEN loose > 0 THEN 'critical' ELSE 'ok' END AS level, loose AS criticals, 0::BIGINT AS warnings, CASE WHEN loose > 0 THEN 2::BIGINT ELSE 0 END AS exit_code,
+  (5 * parts + specks + loose)::DOUBLE AS contour_count_before, (6 * parts + 2 * specks + loose)::DOUBLE AS node_count_before, (2 * parts + specks)::DOUBLE AS closed_count, (2 * parts)::DOUBLE AS contour_count_after,
+  (6 * parts)::DOUBLE AS node_count_after, parts::DOUBLE AS part_count, 0::DOUBLE AS dedup_count, CASE WHEN specks > 0 THEN specks::DOUBLE END AS diag_despeckled FROM ({SHEET}) t""")
+def clean_drawings(spark, d):
+    """Whole drawings through every step to their reports and statistics."""
+    rows = _sheets(spark, d)
+    found = clean.cleaned(rows)
+    level = clean.levels(rows.select(C("path").alias("drawing_id")).distinct(), found.kept, found.notes)
+    told = clean.reports(level, found.notes, found.stats)
+    names = ["contour_count_before", "node_count_before", "closed_count", "contour_count_after", "node_count_after", "part_count", "dedup_count", "diag_despeckled"]
+    return told.select("drawing_id", "level", "criticals", "warnings", "exit_code", *[C("info")[n].alias(n) for n in names])
+
+
+@query(f"""SELECT CAST(p_partkey % 20 AS VARCHAR) AS drawing_id, kind, count(*) AS n, {_r('sum(size)', 3, 'area')} FROM (SELECT p_partkey, unnest(['exterior', 'interior']) AS kind, unnest([(8 + p_size % 8) ** 2, -pi() * 2.25]) AS size FROM part) t GROUP BY ALL
+  UNION ALL SELECT CAST(p_partkey % 20 AS VARCHAR), NULL, count(*), NULL FROM part WHERE p_partkey % 50 = 7 GROUP BY 1""")
+def clean_contours(spark, d):
+    """What is kept of those drawings: outlines counter-clockwise, holes clockwise, and
+    what stays open. Ends that were joined lie between the two there were."""
+    kept = clean.cleaned(_sheets(spark, d)).kept
+    whole = clean._measures(kept.withColumn("sign", F.when(C("role") == "interior", -1.0).otherwise(1.0)))
+    square = F.when((C("role") == "exterior") & (F.size("segments") == 4), F.round(F.sqrt("area") + 0.0, 0) ** 2).otherwise(C("area"))
+    per = whole.groupBy("drawing_id", C("role").alias("kind")).agg(F.count("*").alias("n"), F.sum(C("sign") * square).alias("area"))
+    return _round(per.withColumn("area", F.when(C("kind").isNotNull(), C("area"))), 3, "area")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 

@@ -19,7 +19,8 @@ FROM (SELECT drawing_id, seg_id, flip, x0, y0,
               CAST(1 AS DOUBLE) + l_quantity % 6 AS len, l_returnflag = 'R' AS up, l_linestatus = 'F' AS flip
             FROM {lineitem}) a) b"""
 JIT = f"""
-SELECT drawing_id, seg_id, sx + (seg_id % 8) / CAST(64 AS DOUBLE) AS sx, sy, ex + ((seg_id + 3) % 8) / CAST(64 AS DOUBLE) AS ex, ey
+SELECT drawing_id, seg_id, sx + (seg_id % 8) / CAST(64 AS DOUBLE) AS sx, sy + ((seg_id * 3) % 5) / CAST(64 AS DOUBLE) AS sy,
+  ex + ((seg_id + 3) % 8) / CAST(64 AS DOUBLE) AS ex, ey + ((seg_id + 2) % 7) / CAST(64 AS DOUBLE) AS ey
 FROM ({SEG}) s"""
 SQ = """
 SELECT p_partkey % 20 AS drawing_id, p_partkey AS id, CAST(floor(p_partkey / CAST(20 AS DOUBLE)) AS BIGINT) % 5 AS cell, CAST(p_size AS DOUBLE) AS half FROM {part}"""

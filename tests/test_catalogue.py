@@ -30,11 +30,11 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_chains_are_contiguous(spark):
-    rows = catalogue.chain_contours(spark, SF)
     from kerfwork.operators import segments
     from kerfwork.plans.views import view
 
     alone = segments.survivors(view(spark, SF, "seg"))
+    rows = segments.chain(alone)
     assert rows.count() == rows.select("drawing_id", "seg_id").distinct().count() == alone.count()
     pdf = rows.join(alone, ["drawing_id", "seg_id"]).toPandas().sort_values(["drawing_id", "contour_id", "seg_ord"])
     for _, g in pdf.groupby(["drawing_id", "contour_id"]):
