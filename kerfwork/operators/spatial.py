@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerfwork.ship import ship
@@ -46,24 +46,9 @@ def near_pairs(points: DataFrame, eps: float, id_: str = "pt") -> DataFrame:
     return met.withColumn("d", d).where(F.col("d") <= eps).select("drawing_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
 
 
-def box_pairs(boxes: DataFrame, cell: float, grow: float = 0.0, residual: Column | None = None) -> DataFrame:
-    """Pairs a.id < b.id of boxes (drawing_id, id, x0, y0, x1, y1) that meet when each
-    grows by ``grow``: joined on the grid cells both cover, kept in the cell of the
-    lower corner of their common part only, so that none is met twice."""
-    low = lambda c: F.floor((F.col(c) - grow) / cell)
-    high = lambda c: F.floor((F.col(c) + grow) / cell)
-    spread = boxes.withColumn("gx", F.explode(F.sequence(low("x0"), high("x1")))).withColumn("gy", F.explode(F.sequence(low("y0"), high("y1"))))
-    side = lambda s: spread.select("drawing_id", "gx", "gy", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
-    met = side("a").join(side("b"), ["drawing_id", "gx", "gy"]).where(F.col("a_id") < F.col("b_id"))
-    corner = lambda c: F.floor((F.greatest(f"a_{c}", f"b_{c}") - grow) / cell)
-    met = met.where((F.col("gx") == corner("x0")) & (F.col("gy") == corner("y0")))
-    touch = [(F.col(f"a_{c}0") - grow <= F.col(f"b_{c}1") + grow) & (F.col(f"b_{c}0") - grow <= F.col(f"a_{c}1") + grow) for c in "xy"]
-    met = met.where(touch[0] & touch[1]).drop("gx", "gy")
-    return met.where(residual) if residual is not None else met
-
-
 def box_pairs_of_any_size(boxes: DataFrame, grow: float = 0.0) -> DataFrame:
-    """As ``box_pairs``, for boxes of very different sizes (a sheet and its holes). A
+    """Pairs of boxes (drawing_id, id, x0, y0, x1, y1) that meet when each grows by
+    ``grow``, for boxes of very different sizes (a sheet and its holes). A
     box lives in cells as wide as itself, rounded up to a power of two, so in four at
     most; it looks for others at its own size and at each larger size that its drawing
     has. Ids come out in order, a below b."""
