@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 
 #: Bytes that are hashed at once. A piece above that goes to the encoder each time.
 CHUNK = 1 << 20
+#: Bytes that are searched for cuts at once.
+BLOCK = 1 << 23
 #: A worker's table: slots, and the pieces, ids and bytes above which it begins anew.
 SLOT_BITS, KEPT, KEPT_IDS, KEPT_BYTES = 22, 1_800_000, 10_000_000, 32_000_000
 PRIME = 0x9E3779B97F4A7C55
@@ -53,7 +55,16 @@ TABLE = bytes(((BYTE == 0x20) * 1 | _LETTER * 2 | _VISIBLE * 4 | _SOLID * 16 | _
 
 
 def starts(raw: np.ndarray) -> np.ndarray:
-    """Whether a piece begins at each byte of ``raw``, its first aside."""
+    """Whether a piece begins at each byte of ``raw``, its first aside. Blocks of bytes
+    are looked at one after the other, with the two before and the one behind them."""
+    out = np.zeros(len(raw), bool)
+    for at in range(0, len(raw), BLOCK):
+        low = max(0, at - 2)
+        out[at : at + BLOCK] = _starts(raw[low : at + BLOCK + 1])[at - low : at - low + BLOCK]
+    return out
+
+
+def _starts(raw: np.ndarray) -> np.ndarray:
     out = np.zeros(len(raw), bool)
     if len(raw) < 2:
         return out

@@ -60,3 +60,11 @@ def test_collisions_and_renewal_change_nothing(monkeypatch, kept):
     for _ in range(2):
         flat, bounds = ids_of.texts(pa.array(texts))
         assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_blocks_change_no_cut(monkeypatch):
+    raw = np.frombuffer("".join(t or "" for t in _texts()[:1500]).encode(), np.uint8)
+    whole = pieces.starts(raw)
+    for block in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        assert (pieces.starts(raw[:20_000]) == np.append(whole[:19_999], pieces.starts(raw[:20_000])[-1])).all()
