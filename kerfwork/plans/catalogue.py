@@ -545,9 +545,34 @@ SELECT drawing_id, code, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY AL
 def part_findings(spark, d):
     """All checks of parts and holes: even rectangles are parts, odd ones holes, each of a
     part of its own."""
+    return _found(spark, d).groupBy("drawing_id", "code").agg(F.count("*").alias("n"))
+
+
+def _found(spark, d, code: str | None = None) -> DataFrame:
     shapes = outlined.polygons_of(_boxes(spark, d))
-    tree = shapes.select("drawing_id", "contour_id", C("contour_id").alias("part"), F.when(C("contour_id") % 2 == 0, "exterior").otherwise("interior").alias("role"))
-    return outlined.findings(shapes, tree, outlined.relations(shapes, 0.15), 0.15, (2, 3), 2.2).groupBy("drawing_id", "code").agg(F.count("*").alias("n"))
+    tree = shapes.select("drawing_id", "contour_id", C("contour_id").alias("part"), F.when(C("contour_id") % 2 == 0, "exterior").otherwise("interior").alias("role"), C("contour_id").cast("string").alias("handle"))
+    notes = outlined.findings(shapes, tree, outlined.relations(shapes, 0.15), 0.15, (2, 3), 2.2)
+    return notes if code is None else notes.where(C("code") == code).select("drawing_id", C("handle").cast("long").alias("id"), "message")
+
+
+@query(f"SELECT drawing_id, id, printf('%.1f x %.1f mm on a sheet of 2 x 3 mm', x1 - x0, y1 - y0) AS message FROM {RECT} r WHERE id % 2 = 0 AND (x1 - x0 > 2 OR y1 - y0 > 3)")
+def oversize(spark, d):
+    return _found(spark, d, "PART_OVERSIZED")
+
+
+@query(f"SELECT drawing_id, id, printf('%.3f mm across, least 2.200 mm', 2 * sqrt((x1 - x0) * (y1 - y0) / pi())) AS message FROM {RECT} r WHERE id % 2 = 1 AND 2 * sqrt((x1 - x0) * (y1 - y0) / pi()) < 2.2")
+def small_holes(spark, d):
+    return _found(spark, d, "HOLE_TOO_SMALL")
+
+
+@query(f"SELECT drawing_id, a AS id, printf('with contour %d: %.3f square mm shared', CAST(b AS BIGINT), shared) AS message FROM ({OVER}) o")
+def part_overlap(spark, d):
+    return _found(spark, d, "PARTS_OVERLAP")
+
+
+@query(f"SELECT a.drawing_id, a.id, printf('with contour %d: of one shape in one place', CAST(b.id AS BIGINT)) AS message FROM {RECT} a JOIN {RECT} b ON a.drawing_id = b.drawing_id AND a.id < b.id AND a.id % 2 = 0 AND b.id % 2 = 0 AND {HOLDS.format('a', 'b')} AND {HOLDS.format('b', 'a')}")
+def duplicate_parts(spark, d):
+    return _found(spark, d, "PARTS_DUPLICATE")
 
 
 @query(f"""SELECT i.drawing_id, count(DISTINCT i.id) AS lost FROM {RECT} i JOIN {RECT} o ON o.drawing_id = i.drawing_id AND o.id <> i.id AND {HOLDS.format('o', 'i')} AND NOT ({HOLDS.format('i', 'o')}) GROUP BY i.drawing_id""")
@@ -624,6 +649,19 @@ def clean_drawings(spark, d):
     return told.select("drawing_id", "level", "criticals", "warnings", "exit_code", *[C("info")[n].alias(n) for n in names])
 
 
+@query("""SELECT drawing_id || '.dxf' AS file, CASE WHEN loose > 0 THEN 'critical' ELSE 'ok' END AS status, parts::DOUBLE AS part_count, CASE WHEN specks > 0 THEN specks::DOUBLE END AS diag_despeckled FROM (""" + SHEET + """) t
+  UNION ALL SELECT 'empty.dxf', 'critical', 0::DOUBLE, NULL UNION ALL SELECT 'not.dxf', 'error', 0::DOUBLE, NULL""")
+def batch_report(spark, d):
+    """The table of a folder: a drawing without contours and a file that is no drawing have
+    rows, too."""
+    rows = _sheets(spark, d).withColumn("path", F.concat(F.lit("in/"), "path", F.lit(".dxf")))
+    bad = dxf.from_files(spark.createDataFrame([("in/not.dxf", bytearray(b"no drawing"))], "path string, content binary"))
+    found = clean.cleaned(rows.unionByName(bad))
+    files = rows.select("path").unionByName(bad.select("path")).unionByName(spark.createDataFrame([("in/empty.dxf",)], "path string"))
+    told = clean.reports(clean.levels(files.select(C("path").alias("drawing_id")), found.kept, found.notes), found.notes, found.stats)
+    return clean.batch_table(told).select("file", "status", F.coalesce("part_count", F.lit(0.0)).alias("part_count"), "diag_despeckled")
+
+
 @query(f"""SELECT CAST(p_partkey % 20 AS VARCHAR) AS drawing_id, kind, count(*) AS n, {_r('sum(size)', 3, 'area')} FROM (SELECT p_partkey, unnest(['exterior', 'interior']) AS kind, unnest([(8 + p_size % 8) ** 2, -pi() * 2.25]) AS size FROM part) t GROUP BY ALL
   UNION ALL SELECT CAST(p_partkey % 20 AS VARCHAR), NULL, count(*), NULL FROM part WHERE p_partkey % 50 = 7 GROUP BY 1""")
 def clean_contours(spark, d):
