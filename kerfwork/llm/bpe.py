@@ -26,8 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from kerfwork.llm.common import PairTable, map_texts
-from kerfwork.llm.pieces import PieceIds, worker_ids
+from kerfwork.llm.common import PairTable, live, map_texts
+from kerfwork.llm.pieces import PieceIds
 
 LONGEST = 192
 NONE = 1 << 40
@@ -158,23 +158,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def tokenizer(path: str, pattern: str) -> ByteBpe:
-    """One for each Python worker and file."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(load_ranks(path), pattern)
-    return _LOADED[path, pattern]
-
-
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
-
-
 def encode_ids(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
     """``keep`` columns, n_tokens, the ids as little-endian uint32 bytes, and hashes of
     the ids and of the bytes they decode to. One pass, so a task has one tokenizer."""
 
     def make():
-        bpe = tokenizer(path, pattern)
-        ids_of = worker_ids(path, lambda: PieceIds(bpe.encode))
+        ids_of = live(f"{path} {pattern}", lambda: PieceIds(ByteBpe(load_ranks(path), pattern).encode))
+        bpe = ids_of.encode.__self__
         names = [str(i) for i in range(len(bpe.size))]
 
         def work(texts: pa.Array) -> list[list]:

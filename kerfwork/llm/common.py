@@ -107,6 +107,23 @@ ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boo
 PIECE_BYTES = 4_000_000
 
 
+_LIVE: dict[str, object] = {}
+
+
+def live(name: str, make: Callable[[], object]):
+    """What this Python worker holds between tasks under a name. It holds one thing only:
+    workers outlive the stages that used them, and their memory adds up."""
+    if name not in _LIVE:
+        _LIVE.clear()
+        _LIVE[name] = make()
+    return _LIVE[name]
+
+
+def nothing_live() -> None:
+    """To be called first by tasks that hold nothing between them but much while they run."""
+    _LIVE.clear()
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``PIECE_BYTES`` bytes of the column ``text``."""
     size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -127,6 +144,8 @@ def map_texts(docs: DataFrame, keep: list[str], added: dict[str, str], make: Cal
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {kind}" for c, kind in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not arrow:
+            nothing_live()
         work = make()
         for batch in batches:
             for part in slices(batch, len(keep)):

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import PairTable, crc_bucket, cut, small_batches
+from kerfwork.llm.common import PairTable, crc_bucket, cut, nothing_live, small_batches
 
 MARK = "▁"
 COMMON = 60_000
@@ -218,6 +218,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_live()
         learned, other = Counter(), Counter()
 
         def out() -> pa.RecordBatch:

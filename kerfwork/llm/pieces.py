@@ -28,7 +28,7 @@ CHUNK = 1 << 20
 #: Bytes that are searched for cuts at once.
 BLOCK = 1 << 23
 #: A worker's table: slots, and the pieces, ids and bytes above which it begins anew.
-SLOT_BITS, KEPT, KEPT_IDS, KEPT_BYTES = 22, 1_800_000, 10_000_000, 32_000_000
+SLOT_BITS, KEPT, KEPT_IDS, KEPT_BYTES = 21, 900_000, 5_000_000, 16_000_000
 PRIME = 0x9E3779B97F4A7C55
 MIX = np.uint64(0xD6E8FEB86659FD93)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -225,13 +225,3 @@ class PieceIds:
 def in_order(ids: list) -> tuple[range, np.ndarray, np.ndarray]:
     """What ``encode`` gives, from the ids of each piece in the pieces' order."""
     return range(len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
-
-
-_HELD: dict[str, PieceIds] = {}
-
-
-def worker_ids(name: str, make: Callable[[], PieceIds]) -> PieceIds:
-    """The one of this Python worker for a vocabulary; it outlives tasks."""
-    if name not in _HELD:
-        _HELD[name] = make()
-    return _HELD[name]

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import cut, hot_limit, join_hot, map_texts, numbered, row_order, small_batches
+from kerfwork.llm.common import cut, hot_limit, join_hot, map_texts, nothing_live, numbered, row_order, small_batches
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
 LARGE = 4096
@@ -212,6 +212,7 @@ def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             moved = least != np.arange(len(order))
             return pa.RecordBatch.from_pydict({"a": order[least[moved]].view(np.int64), "b": order[moved].view(np.int64)})
 
+        nothing_live()
         held_t, held_key, held = None, None, []
         for batch in batches:
             t, key, split, sub, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import shared_dir, slices, small_batches
-from kerfwork.llm.pieces import PieceIds, in_order, worker_ids
+from kerfwork.llm.common import live, shared_dir, slices, small_batches
+from kerfwork.llm.pieces import PieceIds, in_order
 
 #: Stands for a null id, which sorts first.
 NULL_ID = -(1 << 63)
@@ -116,7 +116,7 @@ def library_ids(path: str) -> PieceIds:
         encoder = LibraryEncoder(path)
         return PieceIds(encoder, encoder.markers)
 
-    return worker_ids(path, make)
+    return live(path, make)
 
 
 def local_path(uri: str) -> str:
