@@ -6,6 +6,8 @@ lower-cased. In Python both are exactly ``bytes.lower().split()``.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows and bytes in one Arrow batch of a Python operator, the same for all of them, as
 #: plans built earlier run with the setting of the moment.
-BATCH_ROWS, BATCH_BYTES = 2000, 16_000_000
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -114,7 +116,7 @@ def live(name: str, make: Callable[[], object]):
     """What this Python worker holds between tasks under a name. It holds one thing only:
     workers outlive the stages that used them, and their memory adds up."""
     if name not in _LIVE:
-        _LIVE.clear()
+        nothing_live()
         _LIVE[name] = make()
     return _LIVE[name]
 
@@ -122,6 +124,16 @@ def live(name: str, make: Callable[[], object]):
 def nothing_live() -> None:
     """To be called first by tasks that hold nothing between them but much while they run."""
     _LIVE.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory of this worker goes back to the machine, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -153,6 +165,8 @@ def map_texts(docs: DataFrame, keep: list[str], added: dict[str, str], make: Cal
                 columns = work(texts if arrow else texts.to_pylist())
                 arrays = [part.column(i) for i in range(len(keep))] + [pa.array(x, ARROW[kind]) for x, kind in zip(columns, added.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *added])
+        del work
+        give_back()
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 

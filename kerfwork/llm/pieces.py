@@ -28,7 +28,7 @@ CHUNK = 1 << 20
 #: Bytes that are searched for cuts at once.
 BLOCK = 1 << 23
 #: A worker's table: slots, and the pieces, ids and bytes above which it begins anew.
-SLOT_BITS, KEPT, KEPT_IDS, KEPT_BYTES = 21, 900_000, 5_000_000, 16_000_000
+SLOT_BITS, KEPT, KEPT_IDS, KEPT_BYTES = 20, 500_000, 2_500_000, 8_000_000
 PRIME = 0x9E3779B97F4A7C55
 MIX = np.uint64(0xD6E8FEB86659FD93)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
