@@ -25,7 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows and bytes in one Arrow batch of a Python operator, the same for all of them, as
 #: plans built earlier run with the setting of the moment.
-BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
+BATCH_ROWS, BATCH_BYTES = 500, 4_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -106,7 +106,7 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 #: Text bytes handed to a Python function at once (a longer single text goes alone).
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 
 
 _LIVE: dict[str, object] = {}

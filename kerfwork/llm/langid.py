@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerfwork.llm.common import crc_bucket, map_texts
+from kerfwork.llm.common import crc_bucket, give_back, map_texts
 
 #: Weights a label (a power of two), and in all: with very many labels each has fewer.
 BITS, MOST_WEIGHTS = 17, 1 << 24
@@ -314,7 +314,9 @@ def sample_labelled(docs: DataFrame, docs_per_label: int, longest: int) -> list[
 def fit(docs: DataFrame, docs_per_label: int = 120, longest: int = 12_000) -> Crf | None:
     """Fit on a bounded sample of the labelled ``docs`` (text, lang):
     ``docs_per_label`` texts of each label, cut to ``longest`` characters."""
-    return train(sample_labelled(docs, docs_per_label, longest))
+    model = train(sample_labelled(docs, docs_per_label, longest))
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Crf | None, *keep: str) -> DataFrame:

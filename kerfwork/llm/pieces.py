@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are hashed at once. A piece above that goes to the encoder each time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes that are searched for cuts at once.
 BLOCK = 1 << 23
 #: A worker's table: slots, and the pieces, ids and bytes above which it begins anew.
